@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 COMMENT, OTHER = r"<!--(?:>|->|.*?(?:--!?>|\Z))", r"<[!?/][^>]*+(?:>|\Z)"
 TAG = r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>%s)>"
@@ -266,7 +267,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html", out_col: str = "text
     """``pages`` with the main text in place of the HTML; every row comes out once, whatever the other columns hold."""
     kept = [c for c in pages.columns if c not in (html_col, out_col)]
     src = pages.select(*kept, F.col(html_col))
-    schema = pages.select(*kept).schema.add(out_col, "string")
+    schema = StructType([pages.schema[c] for c in kept]).add(out_col, "string")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BITS = 12
 DIM = 1 << BITS
@@ -181,7 +182,7 @@ def identify(docs: DataFrame, model: CentroidModel, text_col: str = "text") -> D
     kept = [c for c in docs.columns if c not in new]
     at = kept.index(text_col)
     src = docs.select(*kept)
-    schema = src.schema.add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
+    schema = StructType(list(src.schema.fields)).add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _slices(batches, at):

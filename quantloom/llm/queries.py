@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, simhash, url_filter
+from . import html_extract, langid, mixing, packing, pii, sharding, simhash, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -40,6 +40,13 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_centroid_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out("doc_id"))
+    model = langid.fit(docs.where("NOT held_out"))
+    found = langid.identify(docs.drop("lang"), model)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
 
@@ -48,6 +55,11 @@ def op6_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mixing.words("text"), keep=["doc_id"])
 
 
+def op7_min_cut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def url_list(pages: DataFrame) -> DataFrame:
     """A dated list over the hosts of ``pages``: blocks that are lifted, allowed paths, and two parent domains."""
     hosts = pages.select(url_filter.host(F.col("url")).alias("h")).where("h <> ''").distinct()
@@ -73,6 +85,11 @@ def op8_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "page_id").withColumn("fetched", F.col("fetched").cast("string"))
 
 
+def op9_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 OP8_SQL = r"""
 WITH c AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS fetched,
@@ -103,8 +120,11 @@ FROM c LEFT JOIN m ON m.page_id = c.page_id AND m.nth = 1
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_centroid_language_id": op4_centroid_language_id,
     "op5_minimax_sharding": op5_minimax_sharding,
     "op6_systematic_mixing": op6_systematic_mixing,
+    "op7_min_cut_extraction": op7_min_cut_extraction,
     "op8_temporal_url_filter": op8_temporal_url_filter,
+    "op9_boosted_pii": op9_boosted_pii,
 }
 ORACLES = {"op8_temporal_url_filter": OP8_SQL}
