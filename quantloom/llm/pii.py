@@ -88,7 +88,8 @@ VALID: dict[str, Callable[[Column], Column]] = {
 
 
 def base_spans(text: Column) -> dict[str, Column]:
-    return {k: F.filter(located(text, BASE[k], MAYBE[k]), lambda x, k=k: VALID[k](x["v"])) for k in KINDS}
+    valid = lambda k: lambda x: VALID[k](x["v"])
+    return {k: F.filter(located(text, BASE[k], MAYBE[k]), valid(k)) for k in KINDS}
 
 
 def features(kind: str, x: Column) -> list[Column]:
@@ -119,19 +120,26 @@ def features(kind: str, x: Column) -> list[Column]:
 
 def candidates(text: Column, base: dict[str, Column]) -> Column:
     """All candidates as (k, s, e, mask, label): 1 equals a base span, 0 breaks a rule or lies on another kind, null is open."""
-    out = []
-    for i, k in enumerate(KINDS):
+
+    def described(i: int, k: str) -> Callable[[Column], Column]:
         others = F.concat(*[base[o] for o in KINDS if o != k])
 
-        def one(x: Column, k: str = k, i: int = i, others: Column = others) -> Column:
+        def one(x: Column) -> Column:
             same = F.exists(base[k], lambda y: (y["s"] == x["s"]) & (y["e"] == x["e"]))
             cross = F.exists(others, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
             wrong = cross | ~VALID[k](x["v"]) if k != "email" else cross
             mask = sum((F.when(f, 1 << b).otherwise(0) for b, f in enumerate(features(k, x))), F.lit(0))
             return F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"), mask.alias("mask"), F.when(same, 1).when(wrong, 0).alias("label"))
 
-        out.append(F.transform(located(text, WIDE[k], MAYBE_WIDE[k]), one))
-    return F.concat(*out)
+        return one
+
+    return F.concat(*[F.transform(located(text, WIDE[k], MAYBE_WIDE[k]), described(i, k)) for i, k in enumerate(KINDS)])
+
+
+def numbered(base: dict[str, Column]) -> Column:
+    """Base spans of all kinds as (s, k, e), k the kind's place."""
+    plain = lambda i: lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"))
+    return F.concat(*[F.transform(base[k], plain(i)) for i, k in enumerate(KINDS)])
 
 
 def _tree(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, damp: float = 1.0):
@@ -211,10 +219,9 @@ def learn(scanned: DataFrame) -> dict[int, list[int]]:
 def all_spans(model: dict[int, list[int]], base: dict[str, Column], found: Column) -> Column:
     """Base spans and the candidates that pass and touch none of them, as (s, k, e) by start and kind."""
     whole = F.concat(*[base[k] for k in KINDS])
-    plain = F.concat(*[F.transform(base[k], lambda x, i=i: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"))) for i, k in enumerate(KINDS)])
     passes = lambda x: reduce(or_, [(x["k"] == i) & x["mask"].isin(m) for i, m in model.items() if m], F.lit(False))
     new = F.filter(found, lambda x: passes(x) & ~F.exists(whole, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
-    return F.array_sort(F.array_distinct(F.concat(plain, F.transform(new, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))))
+    return F.array_sort(F.array_distinct(F.concat(numbered(base), F.transform(new, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))))
 
 
 def listed(spans: Column) -> Column:
@@ -232,9 +239,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     scanned = saved(scan(docs, [id_col], text_col).drop("t"))
     model = learn(scanned)
     base = {k: F.col(k) for k in KINDS}
-    plain = F.array_sort(F.concat(*[F.transform(base[k], lambda x, i=i: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"))) for i, k in enumerate(KINDS)]))
     return scanned.select(
-        F.col("k0").alias("id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], listed(plain).alias("base"), listed(all_spans(model, base, F.col("found"))).alias("spans")
+        F.col("k0").alias("id"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], listed(F.array_sort(numbered(base))).alias("base"), listed(all_spans(model, base, F.col("found"))).alias("spans")
     )
 
 
