@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, mixing, packing, pii, sharding, simhash, url_filter
+from . import hilbert, html_extract, langid, maxscore, mixing, packing, pii, sharding, simhash, url_filter
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -40,6 +40,20 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), k=20, scale=64.0, every=20)
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op4_centroid_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out("doc_id"))
     model = langid.fit(docs.where("NOT held_out"))
@@ -90,6 +104,10 @@ def op9_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.neighbours(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 OP8_SQL = r"""
 WITH c AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS fetched,
@@ -120,11 +138,13 @@ FROM c LEFT JOIN m ON m.page_id = c.page_id AND m.nth = 1
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_maxscore_top_k": op3_maxscore_top_k,
     "op4_centroid_language_id": op4_centroid_language_id,
     "op5_minimax_sharding": op5_minimax_sharding,
     "op6_systematic_mixing": op6_systematic_mixing,
     "op7_min_cut_extraction": op7_min_cut_extraction,
     "op8_temporal_url_filter": op8_temporal_url_filter,
     "op9_boosted_pii": op9_boosted_pii,
+    "op10_hilbert_neighbours": op10_hilbert_neighbours,
 }
-ORACLES = {"op8_temporal_url_filter": OP8_SQL}
+ORACLES = {"op3_maxscore_top_k": OP3_SQL, "op8_temporal_url_filter": OP8_SQL}
