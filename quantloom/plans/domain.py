@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import columns as C
+from quantloom.functions.stage import staged
 from quantloom.operators import aggregates as A
 from quantloom.operators import features as X
 from quantloom.operators import fracdiff as D
@@ -104,8 +105,8 @@ query("x15_expanding_splits", "fold:l train_end:l test_start:l test_end:l", "SEL
 )
 
 # Fractional differences.
-query("x01_ffd_weights", "k:l w:d", "WITH RECURSIVE w AS (SELECT 0 AS k, CAST(1 AS DOUBLE) AS w UNION ALL SELECT k + 1, -w * (0.7 - k) / (k + 1) FROM w WHERE abs(-w * (0.7 - k) / (k + 1)) >= 1e-4) SELECT * FROM w")(
-    lambda s, d: s.createDataFrame([(k, w) for k, w in enumerate(D.ffd_weights(0.7))], "k int, w double")
+query("x01_ffd_weights", "k:l w:d", "WITH RECURSIVE w AS (SELECT 0 AS k, CAST(1 AS DOUBLE) AS w UNION ALL SELECT k + 1, -w * (0.7 - k) / (k + 1) FROM w WHERE abs(-w * (0.7 - k) / (k + 1)) >= 1e-4) SELECT k, w * 10000 AS w FROM w")(
+    lambda s, d: s.createDataFrame([(k, w * 10_000) for k, w in enumerate(D.ffd_weights(0.7))], "k int, w double")
 )
 query("x02_fracdiff", f"{K} fracdiff:d", """WITH RECURSIVE w AS (SELECT 0 AS k, CAST(1 AS DOUBLE) AS w UNION ALL SELECT k + 1, -w * (0.7 - k) / (k + 1) FROM w WHERE abs(-w * (0.7 - k) / (k + 1)) >= 1e-4),
  r AS (SELECT ticker, ts, c, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS i FROM bars), f AS (SELECT a.ticker, a.ts, sum(w.w * b.c) AS x, count(*) AS n FROM r a JOIN w ON true JOIN r b ON b.ticker = a.ticker AND b.i = a.i - w.k GROUP BY 1, 2)
@@ -257,9 +258,11 @@ query("x29_backtest_weights", "period ts:t ticker w:d")(lambda s, d: backtest(s,
 def comparison(s, d):
     out = None
     bench = Q.benchmarks(returns(s, d)).select("ts", F.col("equal").alias("bench"))
+    rows, days = staged(backtest_rows(s, d)), staged(Q.rebalance_dates(calendar(s, d)))
+    equity, turnover = (staged(Q.Backtest().run(rows, days, part)) for part in ("equity", "turnover"))
     for k in ("all", "late"):
-        e = backtest(s, d).where(F.col("period") == k).drop("period")
-        t = backtest(s, d, "turnover").where(F.col("period") == k).drop("period")
+        e = equity.where(F.col("period") == k).drop("period")
+        t = turnover.where(F.col("period") == k).drop("period")
         row = E.performance(e, t, bench).withColumn("period", F.lit(k))
         out = row if out is None else out.unionByName(row)
     return out
@@ -315,16 +318,19 @@ query("x18_regime_diagnostics", "regime_label:l days:l total_variance:d r1_mean:
 def master(s, d):
     f = X.volume(X.momentum(X.log_returns(P.panel_w(s, d), (5, 20)), (5, 20)))
     names = ["log_ret_1d", "log_ret_5d", "roc_20d", "price_to_sma_20d", "rel_vol_20d"]
-    lab = numbered(L.sample_weights(L.uniqueness(labels(s, d), calendar(s, d))))
+    lab = staged(numbered(L.sample_weights(L.uniqueness(labels(s, d), calendar(s, d)))))
     rows = ML.training_set(lab, f.select("ticker", "ts", *names)).withColumn("y", R.class_index(F.col("label")))
     draws = bootstrap(s, d)
     return rows.join(draws, "label_index", "left").withColumn("w", F.coalesce("n_draws", F.lit(0)) * F.col("weight")), names
 
 
-def predictions(s, d):
-    m, names = master(s, d)
-    m = m.select("label_index", "y", "w", *names).cache()
-    return ML.train_and_infer(m, CV.purged_folds(numbered(labels(s, d)), 3), names)
+def predictions(s, d, m=None, names=None):
+    """Every fold trains on written rows, so a fit does not run the whole pipeline again."""
+    if m is None:
+        m, names = master(s, d)
+        m = staged(m)
+    folds = staged(CV.purged_folds(m.select("label_index", "ts", "exit_ts"), 3))
+    return ML.train_and_infer(m.select("label_index", "y", "w", *names), folds, names)
 
 
 query("x22_out_of_sample_predictions", "label_index:l fold:l y:l pred:l")(predictions)
@@ -332,8 +338,9 @@ query("x22_out_of_sample_predictions", "label_index:l fold:l y:l pred:l")(predic
 
 def meta(s, d):
     m, names = master(s, d)
-    p = ML.meta_labels(predictions(s, d)).select("label_index", "fold", F.col("meta_label").alias("y"), F.array_max("probs").alias("p_best"))
-    rows = p.join(m.select("label_index", *names), "label_index").cache()
+    m = staged(m)
+    p = ML.meta_labels(predictions(s, d, m, names)).select("label_index", "fold", F.col("meta_label").alias("y"), F.array_max("probs").alias("p_best"))
+    rows = staged(p.join(m.select("label_index", *names), "label_index"))
     return ML.meta_infer(rows, [*names, "p_best"], trees=20)
 
 
