@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 LABELS, SEGMENTS = 12, 12  # suffixes of a host and prefixes of a path that are looked up
+SALTS = 16
 
 
 def host(url: Column) -> Column:
@@ -62,8 +63,11 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     c = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(at_col).alias("fetched"))
     c = saved(c).withColumn("at", F.monotonically_increasing_id())
     held = intervals(entries)
-    probe = c.select("at", "fetched", F.explode(probes(F.col("url"))).alias("p")).select("at", "fetched", "p.*")
-    hit = probe.join(held, ["kind", "pattern"]).where((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
+    # The list goes to SALTS parts of each key, so that the captures of one domain meet it in as many tasks.
+    salt = F.pmod("at", F.lit(SALTS)).cast("int").alias("salt")
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    probe = c.select("at", "fetched", salt, F.explode(probes(F.col("url"))).alias("p")).select("at", "fetched", "salt", "p.*")
+    hit = probe.join(held, ["kind", "pattern", "salt"]).where((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
     best = hit.groupBy("at").agg(F.max(F.struct("rank", (F.col("action") == "allow").alias("a"), "pattern", "kind", "action")).alias("b"))
     return c.join(best, "at", "left").select(
         "id", "url", host(F.col("url")).alias("host"), "fetched", F.col("b.pattern").alias("pattern"), F.col("b.kind").alias("kind"), F.coalesce("b.action", F.lit("none")).alias("action")
