@@ -167,8 +167,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
                 sims.append((v @ c.T).max(1))
     if not names:
         return CentroidModel()
-    # Half of the cosine that all but one in a thousand of the sample reach.
-    floor = 0.5 * float(np.quantile(np.concatenate(sims), 0.001))
+    # A quarter of the cosine that all but one in a thousand of the sample reach: short texts of a language are far from
+    # its centroids too, while letters of another script hardly come near any.
+    floor = 0.25 * float(np.quantile(np.concatenate(sims), 0.001))
     return CentroidModel(idf, names, np.concatenate(cents), floor)
 
 
