@@ -25,7 +25,8 @@ def numbered(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
     Vectors of another length have no inner product with the rest and take no part.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(usable("vec"))
+    kind = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("vec")).where(usable("vec"))
     rows = saved(rows)
     lengths = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     dim = lengths[0]["d"] if lengths else 0
@@ -35,7 +36,8 @@ def numbered(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, row numbers and vectors."""
     flat = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return table.column("id").to_numpy(), table.column("uid").to_numpy(), flat.reshape(table.num_rows, -1)
+    # Vectors travel in the precision that they came in, and are computed with in double.
+    return table.column("id").to_numpy(), table.column("uid").to_numpy(), flat.astype(np.float64, copy=False).reshape(table.num_rows, -1)
 
 
 def meetings(candidates: DataFrame, queries: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:

@@ -11,7 +11,7 @@ by brute force, and the least window that finds the stated share of their neighb
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import LAST, best, meetings, numbered
-from .common import saved
 
-CURVES, DIMS, ORDER = 8, 8, 6  # curves; projected dimensions; bits of each
+CURVES, DIMS, ORDER = 4, 8, 6  # curves; projected dimensions; bits of each
 BUCKETS = 14  # bits of the key that range bounds are set on
 FOUND = "q_uid long, query_id long, uid long, vec_id long, score double"
 
@@ -92,21 +91,24 @@ class Range:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["q_uid", "query_id", "uid", "vec_id", "score"])
 
 
-def on_curves(rows: DataFrame, curves: int) -> DataFrame:
-    """Each row once for each curve: (curve, key, uid, id, vec)."""
+def on_curves(rows: DataFrame, curves: int, vectors: bool) -> DataFrame:
+    """Each row once for each curve: (curve, key, uid, id) and, if asked for, vec. Keys are cheap, so they are computed
+    again rather than kept with copies of the vectors."""
+    more = ["vec"] if vectors else []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False)
-            vecs = flat.reshape(batch.num_rows, -1)
+            vecs = flat.astype(np.float64).reshape(batch.num_rows, -1)
             for c in range(curves):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(vecs), c, np.int32)), pa.array(keys(vecs, c)), *[batch.column(x) for x in ("uid", "id", "vec")]], names=["curve", "key", "uid", "id", "vec"]
+                    [pa.array(np.full(len(vecs), c, np.int32)), pa.array(keys(vecs, c)), *[batch.column(x) for x in ("uid", "id", *more)]], names=["curve", "key", "uid", "id", *more]
                 )
 
-    return rows.select("uid", "id", "vec").mapInArrow(run, "curve int, key long, uid long, id long, vec array<double>")
+    kind = rows.schema["vec"].dataType.simpleString()
+    return rows.select("uid", "id", "vec").mapInArrow(run, "curve int, key long, uid long, id long" + (f", vec {kind}" if vectors else ""))
 
 
 def exact_double(found: DataFrame, k: int) -> DataFrame:
@@ -130,11 +132,10 @@ def neighbours(
     spark, n = vectors.sparkSession, rows.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    placed = saved(on_curves(rows, curves))
     # Bounds of ranges: at most curves * 2^BUCKETS counts reach the driver.
     bits = ORDER * min(DIMS, len(rows.select("vec").first()["vec"]))
     shift = max(0, bits - BUCKETS)
-    counted = placed.groupBy("curve", F.shiftright("key", shift).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counted = on_curves(rows, curves, False).groupBy("curve", F.shiftright("key", shift).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
     parts = max(ranges, -(-n // largest))
     table = []
     for c in range(curves):
@@ -147,26 +148,26 @@ def neighbours(
         sizes[c, r] = sizes.get((c, r), 0) + many
     bounds = spark.createDataFrame([(c, b, r, -(-sizes[c, r] // (2 * largest))) for c, b, r, _ in table], "curve int, b long, range int, cells int")
     at = F.broadcast(bounds)  # curves * 2^BUCKETS rows at most
-    placed = placed.withColumn("b", F.shiftright("key", shift)).join(at, ["curve", "b"]).drop("b", "key")
+    place = lambda part, vectors: on_curves(part, curves, vectors).withColumn("b", F.shiftright("key", shift)).join(at, ["curve", "b"]).drop("b", "key")
 
-    reach = window_for(rows, placed, n, parts, k, every, recall, sample)
+    reach = window_for(rows, lambda part: place(part, False), k, every, recall, sample)
     # Every query has the same number of ranges around it, at the ends of a curve too.
     wide = min(parts, 2 * reach + 1)
     first = F.greatest(F.lit(0), F.least(F.col("range") - reach, F.lit(parts - wide)))
-    asked = placed.where(F.col("id") % every == 0).withColumn("range", F.explode(F.sequence(first, first + wide - 1))).drop("cells")
+    asked = place(rows.where(F.col("id") % every == 0), True).withColumn("range", F.explode(F.sequence(first, first + wide - 1))).drop("cells")
     cells = spark.createDataFrame([(c, r, x) for (c, r), m in sizes.items() for x in range(-(-m // (2 * largest)))], "curve int, range int, cell int")
     asked = asked.join(F.broadcast(cells), ["curve", "range"])  # a row for each range
-    held = placed.withColumn("cell", F.pmod(F.xxhash64("uid"), "cells").cast("int"))
+    held = place(rows, True).withColumn("cell", F.pmod(F.xxhash64("uid"), "cells").cast("int"))
     found = meetings(held, asked, ["curve", "range", "cell"], lambda ids, uids, vecs: Range(ids, uids, vecs, k), FOUND)
     return exact_double(found, k).select("query_id", "rank", F.when(F.col("vec_id") != LAST, F.col("vec_id")).alias("vec_id"), "score")
 
 
-def window_for(rows: DataFrame, placed: DataFrame, n: int, parts: int, k: int, every: int, recall: float, sample: int) -> int:
+def window_for(rows: DataFrame, place: Callable[[DataFrame], DataFrame], k: int, every: int, recall: float, sample: int) -> int:
     """The least reach, in ranges to each side, that finds ``recall`` of the true neighbours of a sample of queries."""
     asked = rows.where(F.col("id") % every == 0).orderBy(F.xxhash64("uid")).limit(sample).collect()
     if not asked:
         return 0
-    vecs = np.array([r["vec"] for r in asked])
+    vecs = np.array([r["vec"] for r in asked], np.float64)
     uids = np.array([r["uid"] for r in asked])
     ids = np.array([r["id"] for r in asked])
 
@@ -176,14 +177,14 @@ def window_for(rows: DataFrame, placed: DataFrame, n: int, parts: int, k: int, e
                 table = pa.Table.from_batches([batch])
                 flat = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
                 own = table.column("id").fill_null(LAST).to_numpy()
-                yield Range(own, table.column("uid").to_numpy(), flat.reshape(batch.num_rows, -1), k).ask(ids, uids, vecs)
+                yield Range(own, table.column("uid").to_numpy(), flat.astype(np.float64).reshape(batch.num_rows, -1), k).ask(ids, uids, vecs)
 
     # The sample meets every row once; sample * k rows stay.
     true = exact_double(rows.select("uid", "id", "vec").mapInArrow(brute, FOUND), k).select("q_uid", "uid").collect()
     wanted = {r["uid"] for r in true} | set(uids.tolist())
     small = rows.sparkSession.createDataFrame([(u,) for u in wanted], "uid long")  # sample * (k + 1) rows at most
     where: dict[int, dict[int, int]] = {}
-    for r in placed.join(F.broadcast(small), "uid", "left_semi").select("uid", "curve", "range").collect():
+    for r in place(rows.join(F.broadcast(small), "uid", "left_semi")).select("uid", "curve", "range").collect():
         where.setdefault(r["uid"], {})[r["curve"]] = r["range"]
     need = sorted(min(abs(where[r["q_uid"]][c] - x) for c, x in where[r["uid"]].items()) for r in true)
     return need[min(len(need) - 1, math.ceil(recall * len(need)) - 1)] if need else 0

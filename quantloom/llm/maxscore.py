@@ -103,7 +103,7 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
     candidates and lose all ties, but are no queries. A query's own row is left out, a copy of it is not; each copy of a
     query row is a query. Scores beyond a long are cut to its range. An empty table gives no rows.
     """
-    rows = numbered(vectors, id_col, vec_col).withColumn("vec", F.transform("vec", lambda x: F.floor(x * scale).cast("double")))
+    rows = numbered(vectors, id_col, vec_col).withColumn("vec", F.transform("vec", lambda x: F.floor(x.cast("double") * scale).cast("double")))
     shards = max(1, -(-rows.count() // SHARD))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int"))
     # A stated query set against all rows: each query goes to every shard once.
