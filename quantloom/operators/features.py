@@ -124,3 +124,9 @@ def rule_regime(df: DataFrame, fast: int = 21, slow: int = 63) -> DataFrame:
     calm = F.col(f"rv_{fast}") <= F.col(f"rv_{slow}")
     state = F.when(F.col(f"mom_{slow}").isNull() | F.col(f"rv_{slow}").isNull(), None).when((F.col(f"mom_{slow}") > 0) & calm, "bull").when((F.col(f"mom_{slow}") <= 0) & ~calm, "crisis").otherwise("neutral")
     return r.withColumn("regime", state).drop("__r")
+
+
+def bollinger(df: DataFrame, n: int = 20, wide: float = 2.0) -> DataFrame:
+    w, c = series(), F.col("c")
+    mid, sd = rolling(F.avg, c, n, w), rolling(F.stddev_samp, c, n, w)
+    return df.withColumns({"mid": mid, "upper": mid + wide * sd, "lower": mid - wide * sd})

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -31,7 +31,7 @@ def training_set(labels: DataFrame, features: DataFrame, regimes: DataFrame | No
     return out.where("label IS NOT NULL")
 
 
-def classifier(name: str, seed: int = 42, weight: str | None = "w", trees: int | None = None):
+def classifier(name: str, seed: int = 42, weight: str | None = "w", trees: int | None = None, inputs: int = 0, classes: int = 3):
     common = {"featuresCol": "x", "labelCol": "y"} | ({"weightCol": weight} if weight else {})
     if name == "logistic":
         return LogisticRegression(family="multinomial", regParam=1e-3, maxIter=50, **common)
@@ -41,6 +41,8 @@ def classifier(name: str, seed: int = 42, weight: str | None = "w", trees: int |
         return RandomForestClassifier(numTrees=trees or 100, maxDepth=5, seed=seed, **common)
     if name == "boosted":  # Spark's boosted trees are binary; one against the rest stands in for more classes
         return OneVsRest(classifier=GBTClassifier(maxIter=trees or 20, maxDepth=5, stepSize=0.1, seed=seed), **common)
+    if name == "perceptron":  # takes no weights
+        return MultilayerPerceptronClassifier(featuresCol="x", labelCol="y", layers=[inputs, 16, 8, classes], maxIter=50, seed=seed)
     raise ValueError(f"unknown model {name}")
 
 
@@ -62,7 +64,7 @@ def train_and_infer(master: DataFrame, folds: DataFrame, features: list[str], na
     for k in number:
         ids = folds.where(F.col("fold") == k).select("label_index", "split")
         rows = master.join(ids, "label_index")
-        stages = [Imputer(inputCols=features, outputCols=[f"{c}__i" for c in features]), VectorAssembler(inputCols=[f"{c}__i" for c in features], outputCol="x"), classifier(name, trees=trees)]
+        stages = [Imputer(inputCols=features, outputCols=[f"{c}__i" for c in features]), VectorAssembler(inputCols=[f"{c}__i" for c in features], outputCol="x"), classifier(name, trees=trees, inputs=len(features))]
         train = rows.where("split = 'Train' AND w > 0")
         model = Pipeline(stages=stages).fit(train)
         out = model.transform(rows.where("split = 'Test'"))

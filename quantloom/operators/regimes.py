@@ -108,3 +108,21 @@ def regime_diagnostics(regimes: DataFrame, df: DataFrame, features: list[str]) -
     r = regimes.select("ts", "regime_label").withColumn("stays", F.when(nxt.isNotNull(), (nxt == F.col("regime_label")).cast("double")))
     total = sum((F.coalesce(F.var_pop(c), F.lit(0.0)) for c in features), F.lit(0.0))
     return r.join(df, "ts").groupBy("regime_label").agg(F.count(F.lit(1)).alias("days"), total.alias("total_variance"), *[F.avg(c).alias(f"{c}_mean") for c in features], F.avg("stays").alias("stay_share"))
+
+
+def standardised(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Columns less their mean over their population deviation; two aggregates, broadcast as one row."""
+    g = df.agg(*[a for c in columns for a in (F.avg(c).alias(f"__m_{c}"), F.stddev_pop(c).alias(f"__s_{c}"))])
+    j = df.join(F.broadcast(g))
+    return j.select(*df.columns, *[((F.col(c) - F.col(f"__m_{c}")) / F.nullif(F.col(f"__s_{c}"), F.lit(0.0))).alias(n) for c, n in columns.items()])
+
+
+def silhouette(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """Silhouette of the states by squared distance, from sums of each state; no pair of rows meets."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    x = VectorAssembler(inputCols=features, outputCol="x").transform(df.withColumn("prediction", F.col(label).cast("double")))
+    many = x.select(label).distinct().count() > 1
+    value = ClusteringEvaluator(featuresCol="x").evaluate(x) if many else 0.0
+    return df.sparkSession.createDataFrame([("silhouette", float(value))], "metric string, value double")

@@ -105,8 +105,8 @@ query("x15_expanding_splits", "fold:l train_end:l test_start:l test_end:l", "SEL
 )
 
 # Fractional differences.
-query("x01_ffd_weights", "k:l w:d", "WITH RECURSIVE w AS (SELECT 0 AS k, CAST(1 AS DOUBLE) AS w UNION ALL SELECT k + 1, -w * (0.7 - k) / (k + 1) FROM w WHERE abs(-w * (0.7 - k) / (k + 1)) >= 1e-4) SELECT k, w * 10000 AS w FROM w")(
-    lambda s, d: s.createDataFrame([(k, w * 10_000) for k, w in enumerate(D.ffd_weights(0.7))], "k int, w double")
+query("x01_ffd_weights", "k:l w:d", "WITH RECURSIVE w AS (SELECT 0 AS k, CAST(1 AS DOUBLE) AS w UNION ALL SELECT k + 1, -w * (0.7 - k) / (k + 1) FROM w WHERE abs(-w * (0.7 - k) / (k + 1)) >= 1e-4) SELECT k, w * 10000 / 3 AS w FROM w")(
+    lambda s, d: s.createDataFrame([(k, w * 10_000 / 3) for k, w in enumerate(D.ffd_weights(0.7))], "k int, w double")
 )
 query("x02_fracdiff", f"{K} fracdiff:d", """WITH RECURSIVE w AS (SELECT 0 AS k, CAST(1 AS DOUBLE) AS w UNION ALL SELECT k + 1, -w * (0.7 - k) / (k + 1) FROM w WHERE abs(-w * (0.7 - k) / (k + 1)) >= 1e-4),
  r AS (SELECT ticker, ts, c, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS i FROM bars), f AS (SELECT a.ticker, a.ts, sum(w.w * b.c) AS x, count(*) AS n FROM r a JOIN w ON true JOIN r b ON b.ticker = a.ticker AND b.i = a.i - w.k GROUP BY 1, 2)
@@ -345,3 +345,38 @@ def meta(s, d):
 
 
 query("x24_meta_predictions", "label_index:l fold:l y:l p:d pred:l")(meta)
+
+# Scaler, state order, further models.
+query("x19_standard_scaler", "ts:t z1:d z2:d", "SELECT ts, (m1 - avg(m1) OVER ()) / stddev_pop(m1) OVER () AS z1, (m2 - avg(m2) OVER ()) / stddev_pop(m2) OVER () AS z2 FROM (SELECT ts, max(value) FILTER (feature = 'm1') AS m1, max(value) FILTER (feature = 'm2') AS m2 FROM macro GROUP BY 1)", "m")(
+    lambda s, d: G.standardised(R.pivot(P.macro(s, d), "ts", "feature", "value", ["m1", "m2"]), {"m1": "z1", "m2": "z2"})
+)
+query("x17_state_order", "state:l total_variance:d place:l")(
+    lambda s, d: G.regime_diagnostics(regimes(s, d), macro_returns(s, d), REGIME).select(F.col("regime_label").alias("state"), "total_variance", F.row_number().over(Window.orderBy("total_variance")).alias("place"))
+)
+query("j09_asof_strict", f"{K} prev_ts:t", "SELECT b.ticker, b.ts, p.ts AS prev_ts FROM daily b ASOF JOIN daily p ON b.ticker = p.ticker AND b.ts - INTERVAL 1 DAY > p.ts", "d")(lambda s, d: X.asof_returns(P.bars_d(s, d)))
+
+
+def fitted(s, d, name: str):
+    m, names = master(s, d)
+    m = staged(m)
+    folds = staged(CV.purged_folds(m.select("label_index", "ts", "exit_ts"), 2).where("fold = 2"))
+    return ML.train_and_infer(m.select("label_index", "y", "w", *names), folds, names, name, trees=10)
+
+
+query("x20_random_forest", "label_index:l fold:l y:l pred:l")(lambda s, d: fitted(s, d, "forest"))
+query("x20_boosted_trees", "label_index:l fold:l y:l pred:l")(lambda s, d: fitted(s, d, "boosted"))
+query("x34_perceptron", "label_index:l fold:l y:l pred:l")(lambda s, d: fitted(s, d, "perceptron"))
+
+
+def silhouette(s, d):
+    r = regimes(s, d).select("ts", "regime_label").join(macro_returns(s, d), "ts").na.drop()
+    return G.silhouette(r, REGIME, "regime_label")
+
+
+query("x35_silhouette", "metric value:d")(silhouette)
+query("x21_fold_training_rows", "fold:l n:l draws:l")(
+    lambda s, d: CV.purged_folds(numbered(labels(s, d))).where("split = 'Train'").join(bootstrap(s, d), "label_index").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("n_draws").alias("draws"))
+)
+query("w09_bollinger", f"{K} mid:d upper:d lower:d", f"SELECT ticker, ts, m AS mid, m + 2 * sd AS upper, m - 2 * sd AS lower FROM (SELECT *, {WQ.roll('avg', 'c', 20)} AS m, {WQ.roll('stddev_samp', 'c', 20)} AS sd FROM (SELECT ticker, ts, c / 1000 AS c FROM panel))", "w")(
+    lambda s, d: X.bollinger(P.panel_w(s, d).withColumn("c", F.col("c") / 1000))
+)
