@@ -18,14 +18,14 @@ SQL = {"l": "BIGINT", "s": "VARCHAR", "t": "VARCHAR", "b": "BOOLEAN"}
 
 BARS_W = """
 tw AS (SELECT p.p_brand AS ticker, CAST(date_trunc('week', l.l_shipdate) AS DATE) AS ts, l.l_extendedprice / l.l_quantity AS px, l.l_quantity AS q,
-  (l.l_shipdate, l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice) AS ord
+  (CAST(l.l_shipdate AS DATE), l.l_orderkey, l.l_linenumber, l.l_partkey % 10000) AS ord
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_quantity > 0),
 bars AS (SELECT ticker, ts, arg_min(px, ord) AS o, max(px) AS h, min(px) AS l, arg_max(px, ord) AS c, sum(q) AS v FROM tw GROUP BY ticker, ts),
 cal AS (SELECT ts, row_number() OVER (ORDER BY ts) AS pos FROM (SELECT DISTINCT ts FROM bars)),
 panel AS (SELECT t.ticker, cal.ts, cal.pos, b.o, b.h, b.l, b.c, b.v FROM cal CROSS JOIN (SELECT DISTINCT ticker FROM bars) t LEFT JOIN bars b ON b.ticker = t.ticker AND b.ts = cal.ts)
 """
 BARS_D = """
-td AS (SELECT c.c_mktsegment AS ticker, CAST(o.o_orderdate AS DATE) AS ts, o.o_totalprice AS px, (o.o_orderdate, o.o_orderkey) AS ord
+td AS (SELECT c.c_mktsegment AS ticker, CAST(o.o_orderdate AS DATE) AS ts, o.o_totalprice AS px, o.o_orderkey AS ord
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
 daily AS (SELECT ticker, ts, arg_min(px, ord) AS o, max(px) AS h, min(px) AS l, arg_max(px, ord) AS c, CAST(count(*) AS DOUBLE) AS v FROM td GROUP BY ticker, ts),
 dcal AS (SELECT ts, row_number() OVER (ORDER BY ts) AS pos FROM (SELECT DISTINCT ts FROM daily)),
