@@ -37,6 +37,11 @@ def labels(s, d, policy: str = "conservative"):
     return L.triple_barrier(P.panel_w(s, d).join(e, ["ticker", "ts"], "left"), policy=policy)
 
 
+def written_labels(s, d):
+    """Labels that a query reads more than once."""
+    return staged(labels(s, d))
+
+
 def calendar(s, d):
     return R.calendar(P.bars_w(s, d))
 
@@ -71,15 +76,15 @@ LABEL_STATS = """SELECT ticker, count(*) AS n, count(*) FILTER (hit = 'PT') AS n
 query("a08_label_statistics", "ticker n:l n_pt:l n_sl:l n_vertical:l pct_pt:d mean_holding:d median_holding:d mean_ret:d median_ret:d mean_vol:d mean_width:d", LABEL_STATS, "lab")(
     lambda s, d: A.label_statistics(labels(s, d))
 )
-query("a18_concurrency", "ts:t pos:l n:l", "SELECT * FROM conc", "uniq")(lambda s, d: L.concurrency(labels(s, d), calendar(s, d)))
-query("a19_uniqueness", f"{K} uniqueness:d", "SELECT * FROM uniq", "uniq")(lambda s, d: L.uniqueness(labels(s, d), calendar(s, d)))
+query("a18_concurrency", "ts:t pos:l n:l", "SELECT * FROM conc", "uniq")(lambda s, d: L.concurrency(written_labels(s, d), calendar(s, d)))
+query("a19_uniqueness", f"{K} uniqueness:d", "SELECT * FROM uniq", "uniq")(lambda s, d: L.uniqueness(written_labels(s, d), calendar(s, d)))
 query("x11_sample_weights", f"{K} uniqueness:d weight:d", "SELECT *, uniqueness * greatest(coalesce(abs(CASE WHEN exit_price / price > 0 THEN ln(exit_price / price) END), 0), 1e-6) AS weight FROM uniq", "uniq")(
-    lambda s, d: L.sample_weights(L.uniqueness(labels(s, d), calendar(s, d)))
+    lambda s, d: L.sample_weights(L.uniqueness(written_labels(s, d), calendar(s, d)))
 )
 
 
 def spans(s, d):
-    lab, cal = numbered(labels(s, d)), calendar(s, d)
+    lab, cal = numbered(written_labels(s, d)), calendar(s, d)
     a = cal.select("ts", (F.col("pos") - 1).alias("a"))
     b = cal.select(F.col("ts").alias("exit_ts"), (F.col("pos") - 1).alias("b"))
     return lab.join(a, "ts").join(b, "exit_ts").select("label_index", "a", "b"), cal.count()
@@ -94,11 +99,19 @@ query("x12_sequential_bootstrap", "label_index:l n_draws:l")(bootstrap)
 FOLDS = """WITH i AS (SELECT row_number() OVER (ORDER BY ts, ticker) - 1 AS label_index, ts, exit_ts FROM lab), dd AS (SELECT ts, ntile(5) OVER (ORDER BY ts) AS fold, row_number() OVER (ORDER BY ts) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM lab)),
 ff AS (SELECT fold, min(ts) AS start, max(ts) AS fin, max(k) AS k, max(n) AS n FROM dd GROUP BY 1), f AS (SELECT ff.fold, ff.start, ff.fin AS "end", e.ts AS embargo_end FROM ff JOIN dd e ON e.k = least(ff.n, ff.k + CAST(floor(ff.n * 0.01) AS BIGINT)))"""
 query("x13_purged_folds", "label_index:l fold:l split", FOLDS + """ SELECT label_index, fold, CASE WHEN ts BETWEEN start AND "end" THEN 'Test' ELSE 'Train' END AS split FROM i CROSS JOIN f WHERE ts BETWEEN start AND "end" OR NOT ((ts <= "end" AND exit_ts >= start) OR (ts > "end" AND ts <= embargo_end))""", "lab")(
-    lambda s, d: CV.purged_folds(numbered(labels(s, d)))
+    lambda s, d: CV.purged_folds(numbered(written_labels(s, d)))
 )
 query("x14_embargo_regions", "fold:l start:t end:t embargo_end:t", FOLDS + " SELECT * FROM f", "lab")(lambda s, d: CV.fold_table(labels(s, d)))
+
+
+def overlapping(lab):
+    """Labels that overlap the test span of each fold; the fold table has as many rows as there are folds."""
+    spans_of = F.broadcast(CV.fold_table(lab).withColumnRenamed("end", "stop"))
+    return lab.join(spans_of, (F.col("ts") <= F.col("stop")) & (F.col("exit_ts") >= F.col("start"))).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
 query("j14_interval_overlap", "fold:l n:l", FOLDS + ' SELECT fold, count(*) AS n FROM i JOIN f ON ts <= "end" AND exit_ts >= start GROUP BY 1', "lab")(
-    lambda s, d: labels(s, d).join(F.broadcast(CV.fold_table(labels(s, d)).withColumnRenamed("end", "stop")), (F.col("ts") <= F.col("stop")) & (F.col("exit_ts") >= F.col("start"))).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    lambda s, d: overlapping(written_labels(s, d))
 )
 query("x15_expanding_splits", "fold:l train_end:l test_start:l test_end:l", "SELECT k + 1 AS fold, n - 315 + k * 63 AS train_end, n - 315 + k * 63 AS test_start, n - 315 + (k + 1) * 63 AS test_end FROM (SELECT count(DISTINCT ts) AS n FROM daily) CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS k)", "d")(
     lambda s, d: s.createDataFrame(CV.expanding_splits(R.calendar(P.bars_d(s, d)).count()), "fold int, train_end int, test_start int, test_end int")
@@ -318,7 +331,7 @@ query("x18_regime_diagnostics", "regime_label:l days:l total_variance:d r1_mean:
 def master(s, d):
     f = X.volume(X.momentum(X.log_returns(P.panel_w(s, d), (5, 20)), (5, 20)))
     names = ["log_ret_1d", "log_ret_5d", "roc_20d", "price_to_sma_20d", "rel_vol_20d"]
-    lab = staged(numbered(L.sample_weights(L.uniqueness(labels(s, d), calendar(s, d)))))
+    lab = staged(numbered(L.sample_weights(L.uniqueness(written_labels(s, d), calendar(s, d)))))
     rows = ML.training_set(lab, f.select("ticker", "ts", *names)).withColumn("y", R.class_index(F.col("label")))
     draws = bootstrap(s, d)
     return rows.join(draws, "label_index", "left").withColumn("w", F.coalesce("n_draws", F.lit(0)) * F.col("weight")), names
@@ -375,7 +388,7 @@ def silhouette(s, d):
 
 query("x35_silhouette", "metric value:d")(silhouette)
 query("x21_fold_training_rows", "fold:l n:l draws:l")(
-    lambda s, d: CV.purged_folds(numbered(labels(s, d))).where("split = 'Train'").join(bootstrap(s, d), "label_index").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("n_draws").alias("draws"))
+    lambda s, d: CV.purged_folds(numbered(written_labels(s, d))).where("split = 'Train'").join(bootstrap(s, d), "label_index").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("n_draws").alias("draws"))
 )
 query("w09_bollinger", f"{K} mid:d upper:d lower:d", f"SELECT ticker, ts, m AS mid, m + 2 * sd AS upper, m - 2 * sd AS lower FROM (SELECT *, {WQ.roll('avg', 'c', 20)} AS m, {WQ.roll('stddev_samp', 'c', 20)} AS sd FROM (SELECT ticker, ts, c / 1000 AS c FROM panel))", "w")(
     lambda s, d: X.bollinger(P.panel_w(s, d).withColumn("c", F.col("c") / 1000))
