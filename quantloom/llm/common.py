@@ -49,17 +49,18 @@ def cells_for(rows: int, per_cell: int = 100_000, least: int = 64, most: int = 6
     return max(least, min(most, -(-rows // per_cell)))
 
 
-def with_rank(df: DataFrame, group: list[str], cells: int, order: list | None = None) -> DataFrame:
+def with_rank(df: DataFrame, group: list[str], cells: int, order: list | None = None, tie: str | None = None) -> DataFrame:
     """Add ``rank``: 0, 1, 2, ... without gaps inside each group, balanced however large a group is.
 
     ``df`` must be stable (a table that was written); the salt comes from the place of a row
     in it, so copies of a row and null keys spread as well. ``order`` (columns of low
-    cardinality in a group) puts the cells of a group in that order.
+    cardinality in a group) puts the cells of a group in that order. ``tie``, a long that tells rows apart by what they
+    hold, takes the place of the place, so that ranks do not depend on how the table is split.
     """
     from pyspark.sql import Window
 
     order = order or []
-    at = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__cell", F.pmod(F.xxhash64("__at"), F.lit(cells)))
+    at = df.withColumn("__at", F.col(tie) if tie else F.monotonically_increasing_id()).withColumn("__cell", F.pmod(F.xxhash64("__at"), F.lit(cells)))
     keys = [*group, *order, "__cell"]
     # A null-safe key, so that the join below keeps rows with null keys.
     at = at.withColumn("__key", F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\0null")) for k in group + order] or [F.lit(0)]))

@@ -55,10 +55,13 @@ def mix(docs: DataFrame, size, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
     ``size`` is a column expression (words of a text). Null sources are one source, the last; null texts have size
     0, and documents of size 0 may be copied but add no words. A source without words has target 0. Sources
-    are at most ``MOST_SOURCES``. Equal seeds give equal copies; repeated rows are sampled one by one.
+    are at most ``MOST_SOURCES``. Equal seeds give equal copies, however the rows are split; repeated rows are sampled one
+    by one. An empty table gives no rows.
     """
     keep = keep or []
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+    # Rows are told apart by all they hold (maps have no hash), so the sample does not depend on files or partitions.
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]).alias("tie")
+    rows = docs.select(tie, *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
     # Documents of about one size lie together, so that what a source gives is close to its target.
     rows = saved(rows.withColumn("bin", F.floor(F.log2(F.col("size") + 1) * 64).cast("int")))
     totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
@@ -67,7 +70,7 @@ def mix(docs: DataFrame, size, weights: tuple[int, ...] = (1, 2, 3), most: int =
     table = rates({r["source"]: r["size"] for r in totals}, weights, most, seed)
     spark = docs.sparkSession
     table = spark.createDataFrame(table, "s string, source_size long, target double, each decimal(19,18), offset decimal(18,18)")
-    ranked = with_rank(rows, ["source"], cells_for(sum(r["n"] for r in totals), 20_000, 16), order=["bin"])
+    ranked = with_rank(rows, ["source"], cells_for(sum(r["n"] for r in totals), 20_000, 16), order=["bin"], tie="tie")
     at = lambda k: F.floor(k.cast("decimal(15,0)") * F.col("each") + F.col("offset")).cast("long")
     mixed = ranked.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", at(F.col("rank") + 1) - at(F.col("rank")))
     return mixed.select(

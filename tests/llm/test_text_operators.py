@@ -261,7 +261,7 @@ def test_mix_meets_targets_and_repeats(spark, docs, empty):
         per.setdefault(r["source"], [r["target"], 0])[1] += r["taken"]
         assert 0 <= r["copies"] <= 3 and r["taken"] == r["copies"] * (1 + r["doc_id"] % 50)
     assert all(abs(t - n) <= 0.01 * t for t, n in per.values())
-    assert sorted(got) == sorted(run(big).collect())
+    assert sorted(got) == sorted(run(big.repartition(7, "size")).collect())
     assert run(docs).count() == docs.count() and run(empty).count() == 0
 
 
