@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 
 def asof(left: DataFrame, right: DataFrame, value: str, ts: str = "ts", default=None, by: list[str] | None = None) -> DataFrame:
-    """Each left row with the last ``value`` of ``right`` at or before its time: one union and one window, no range join."""
+    """Each left row with the last ``value`` of ``right`` at or before its time: one union and one window, no range join.
+
+    The window sees the distinct times of a key only, so without ``by`` it is as long as the calendar.
+    """
     by = by or []
-    rows = F.struct(*[F.col(c) for c in left.columns])
-    a = left.select(*by, F.col(ts).alias("__t"), F.lit(1).alias("__k"), rows.alias("__row"))
     kind = right.schema[value].dataType
-    a = a.withColumn("__v", F.lit(None).cast(kind))
-    b = right.select(*by, F.col(ts).alias("__t"), F.lit(0).alias("__k"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col(value).alias("__v"))
+    a = left.select(*by, F.col(ts).alias("__t")).distinct().withColumn("__k", F.lit(1)).withColumn("__v", F.lit(None).cast(kind))
+    b = right.select(*by, F.col(ts).alias("__t"), F.lit(0).alias("__k"), F.col(value).alias("__v"))
     w = Window.partitionBy(*by).orderBy("__t", "__k").rowsBetween(Window.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__k = 1")
+    found = a.unionByName(b).withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__k = 1")
+    out = left.join(found.select(*by, F.col("__t").alias(ts), value), [*by, ts], "left")
     if default is not None:
         out = out.withColumn(value, F.coalesce(value, F.lit(default)))
-    return out.select("__row.*", value)
+    return out.select(*left.columns, value)
 
 
 def first_match(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
