@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -40,7 +43,7 @@ def classifier(name: str, seed: int = 42, weight: str | None = "w", trees: int |
     if name == "meta_forest":
         return RandomForestClassifier(numTrees=trees or 100, maxDepth=5, seed=seed, **common)
     if name == "boosted":  # Spark's boosted trees are binary; one against the rest stands in for more classes
-        return OneVsRest(classifier=GBTClassifier(maxIter=trees or 20, maxDepth=5, stepSize=0.1, seed=seed), **common)
+        return OneVsRest(classifier=GBTClassifier(maxIter=trees or 100, maxDepth=5, stepSize=0.1, seed=seed), parallelism=classes, **common)
     if name == "perceptron":  # takes no weights
         return MultilayerPerceptronClassifier(featuresCol="x", labelCol="y", layers=[inputs, 16, 8, classes], maxIter=50, seed=seed)
     raise ValueError(f"unknown model {name}")
@@ -59,9 +62,9 @@ def train_and_infer(master: DataFrame, folds: DataFrame, features: list[str], na
 
     ``master`` has label_index, y, w and the features; draws of a bootstrap come as weights.
     """
-    parts = None
     number = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").collect()]
-    for k in number:
+
+    def predicted(k: int) -> DataFrame:
         ids = folds.where(F.col("fold") == k).select("label_index", "split")
         rows = master.join(ids, "label_index")
         stages = [Imputer(inputCols=features, outputCols=[f"{c}__i" for c in features]), VectorAssembler(inputCols=[f"{c}__i" for c in features], outputCol="x"), classifier(name, trees=trees, inputs=len(features))]
@@ -69,9 +72,11 @@ def train_and_infer(master: DataFrame, folds: DataFrame, features: list[str], na
         model = Pipeline(stages=stages).fit(train)
         out = model.transform(rows.where("split = 'Test'"))
         probs = vector_to_array("probability") if "probability" in out.columns else vector_to_array("rawPrediction")
-        out = out.select("label_index", F.lit(k).alias("fold"), "y", probs.alias("probs"), F.col("prediction").cast("int").alias("pred"))
-        parts = out if parts is None else parts.unionByName(out)
-    return parts
+        return out.select("label_index", F.lit(k).alias("fold"), "y", probs.alias("probs"), F.col("prediction").cast("int").alias("pred"))
+
+    with ThreadPoolExecutor(max(1, min(5, len(number)))) as pool:  # folds are fitted side by side
+        parts = list(pool.map(predicted, number))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def meta_labels(predictions: DataFrame) -> DataFrame:

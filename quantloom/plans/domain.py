@@ -342,7 +342,7 @@ def predictions(s, d, m=None, names=None):
     if m is None:
         m, names = master(s, d)
         m = staged(m)
-    folds = staged(CV.purged_folds(m.select("label_index", "ts", "exit_ts"), 3))
+    folds = staged(CV.purged_folds(m.select("label_index", "ts", "exit_ts")))
     return ML.train_and_infer(m.select("label_index", "y", "w", *names), folds, names)
 
 
@@ -354,7 +354,7 @@ def meta(s, d):
     m = staged(m)
     p = ML.meta_labels(predictions(s, d, m, names)).select("label_index", "fold", F.col("meta_label").alias("y"), F.array_max("probs").alias("p_best"))
     rows = staged(p.join(m.select("label_index", *names), "label_index"))
-    return ML.meta_infer(rows, [*names, "p_best"], trees=20)
+    return ML.meta_infer(rows, [*names, "p_best"])
 
 
 query("x24_meta_predictions", "label_index:l fold:l y:l p:d pred:l")(meta)
@@ -372,8 +372,8 @@ query("j09_asof_strict", f"{K} prev_ts:t", "SELECT b.ticker, b.ts, p.ts AS prev_
 def fitted(s, d, name: str):
     m, names = master(s, d)
     m = staged(m)
-    folds = staged(CV.purged_folds(m.select("label_index", "ts", "exit_ts"), 2).where("fold = 2"))
-    return ML.train_and_infer(m.select("label_index", "y", "w", *names), folds, names, name, trees=10)
+    folds = staged(CV.purged_folds(m.select("label_index", "ts", "exit_ts")))
+    return ML.train_and_infer(m.select("label_index", "y", "w", *names), folds, names, name)
 
 
 query("x20_random_forest", "label_index:l fold:l y:l pred:l")(lambda s, d: fitted(s, d, "forest"))

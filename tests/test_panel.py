@@ -18,6 +18,7 @@ from quantloom.operators import recursive as V
 from quantloom.operators import regimes as G
 from quantloom.operators import reshape as R
 from quantloom.operators import validation as CV
+from quantloom.plans import domain
 from quantloom.sources import files, market, schema
 
 NAN = float("nan")
@@ -305,3 +306,23 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda d: sorted((r["ticker"], r["ts"], r["direction"], round(r["threshold"], 9)) for r in d.collect())
     assert key(spark.table("events_out")) == key(V.cusum_events(df)) != []
+
+
+def test_registered_models_predict_every_label(spark, monkeypatch):
+    rows = [(k, day(k // 2), day(k // 2 + 1), k % 3, 1.0, float(k % 7)) for k in range(120)]
+    m = spark.createDataFrame(rows, "label_index long, ts date, exit_ts date, y int, w double, f double")
+    seen, real = [], ML.classifier
+
+    def small(name, trees=None, **k):
+        seen.append((name, trees))
+        return real("logistic") if name != "meta_forest" else real(name, trees=2)
+
+    monkeypatch.setattr(domain, "master", lambda s, d: (m, ["f"]))
+    monkeypatch.setattr(ML, "classifier", small)
+    for got in (domain.fitted(spark, "", "forest"), domain.predictions(spark, ""), domain.meta(spark, "")):
+        out = got.select("label_index", "fold").collect()
+        assert sorted(r["label_index"] for r in out) == list(range(120)) and {r["fold"] for r in out} == {1, 2, 3, 4, 5}
+    assert {k for _, k in seen} == {None}
+    monkeypatch.undo()
+    assert ML.classifier("forest").getNumTrees() == ML.classifier("meta_forest").getNumTrees() == 100
+    assert ML.classifier("boosted").getClassifier().getMaxIter() == 100
