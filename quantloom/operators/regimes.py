@@ -98,7 +98,8 @@ def expanding_regimes(df: DataFrame, features: list[str], states: int = 3, least
         p = p[t:]
         return pd.DataFrame({"ts": pdf["ts"].iloc[t:].to_numpy(), **{f"regime_{k}_prob": p[:, k] for k in range(states)}, "regime_label": p.argmax(1).astype(np.int32)})
 
-    return every_block.groupBy("fit").applyInPandas(run, schema)
+    # A stated number of partitions is not coalesced, so that small blocks still run side by side.
+    return every_block.repartition(len(refits), "fit").groupBy("fit").applyInPandas(run, schema)
 
 
 def regime_diagnostics(regimes: DataFrame, df: DataFrame, features: list[str]) -> DataFrame:

@@ -321,7 +321,7 @@ def macro_returns(s, d):
 
 
 def regimes(s, d):
-    return G.expanding_regimes(macro_returns(s, d), REGIME, least=504, every=300, rounds=15)
+    return G.expanding_regimes(macro_returns(s, d), REGIME)
 
 
 query("x16_expanding_regimes", "ts:t regime_0_prob:d regime_1_prob:d regime_2_prob:d regime_label:l")(regimes)
@@ -382,7 +382,7 @@ query("x34_perceptron", "label_index:l fold:l y:l pred:l")(lambda s, d: fitted(s
 
 
 def silhouette(s, d):
-    r = regimes(s, d).select("ts", "regime_label").join(macro_returns(s, d), "ts").na.drop()
+    r = staged(regimes(s, d).select("ts", "regime_label").join(macro_returns(s, d), "ts").na.drop())
     return G.silhouette(r, REGIME, "regime_label")
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import inspect
 import math
 
 import numpy as np
@@ -326,3 +327,17 @@ def test_registered_models_predict_every_label(spark, monkeypatch):
     monkeypatch.undo()
     assert ML.classifier("forest").getNumTrees() == ML.classifier("meta_forest").getNumTrees() == 100
     assert ML.classifier("boosted").getClassifier().getMaxIter() == 100
+
+
+def test_registered_regimes_refit_as_the_reference_does(monkeypatch):
+    real, seen = inspect.signature(G.expanding_regimes), []
+
+    def record(*a, **k):
+        b = real.bind(*a, **k)
+        b.apply_defaults()
+        seen.append([b.arguments[x] for x in ("states", "least", "every", "rounds")])
+
+    monkeypatch.setattr(domain, "macro_returns", lambda s, d: None)
+    monkeypatch.setattr(G, "expanding_regimes", record)
+    domain.regimes(None, "")
+    assert seen == [[3, 504, 60, 100]]
