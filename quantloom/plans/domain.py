@@ -90,7 +90,7 @@ def spans(s, d):
     return lab.join(a, "ts").join(b, "exit_ts").select("label_index", "a", "b"), cal.count()
 
 
-def bootstrap(s, d, n: int = 5000):
+def bootstrap(s, d, n: int = 500_000):
     sp, dates = spans(s, d)
     return L.sequential_bootstrap(sp, n, dates)
 

@@ -341,3 +341,10 @@ def test_registered_regimes_refit_as_the_reference_does(monkeypatch):
     monkeypatch.setattr(G, "expanding_regimes", record)
     domain.regimes(None, "")
     assert seen == [[3, 504, 60, 100]]
+
+
+def test_registered_bootstrap_draws_as_often_as_the_reference(spark, monkeypatch):
+    spans = spark.range(6000).selectExpr("id AS label_index", "id % 290 AS a", "id % 290 + 1 + id % 5 AS b")
+    monkeypatch.setattr(domain, "spans", lambda s, d: (spans, 300))
+    got = domain.bootstrap(spark, "").agg(F.sum("n_draws").alias("draws"), F.count("*").alias("labels")).first()
+    assert got["draws"] == 500_000 and got["labels"] == 6000
