@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-LABELS, SEGMENTS = 12, 12  # suffixes of a host and prefixes of a path that are looked up
+PREFIX = 1 << 30  # any prefix is more specific than any domain
 SALTS = 16
 
 
@@ -38,18 +38,22 @@ def intervals(entries: DataFrame) -> DataFrame:
     return e.withColumn("until", F.lead("since").over(nth)).where("action <> 'lift'")
 
 
-def probes(url: Column) -> Column:
-    """Keys under which entries for a URL can stand, with their specificity; their number is bounded."""
+def probes(url: Column, most_labels: int, most_parts: int) -> Column:
+    """Keys under which entries for a URL can stand, with their specificity.
+
+    Suffixes of the host of up to ``most_labels`` labels, and prefixes of up to ``most_parts`` parts between slashes, the
+    host counted: as many as the longest patterns of the list have, so no entry is missed.
+    """
     labels = F.split(host(url), r"\.")
     n = F.size(labels)
     domain = F.transform(
-        F.sequence(F.lit(1), F.least(n, F.lit(LABELS))),
+        F.sequence(F.lit(1), F.least(n, F.lit(most_labels))),
         lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, n - k + 1, k), ".").alias("pattern"), k.alias("rank")),
     )
     parts = F.split(path(url), "/")
     prefix = F.transform(
-        F.sequence(F.lit(1), F.least(F.size(parts), F.lit(SEGMENTS))),
-        lambda k: F.struct(F.lit("prefix").alias("kind"), F.concat(host(url), F.array_join(F.slice(parts, F.lit(1), k), "/")).alias("pattern"), (k + 100).alias("rank")),
+        F.sequence(F.lit(1), F.least(F.size(parts), F.lit(most_parts))),
+        lambda k: F.struct(F.lit("prefix").alias("kind"), F.concat(host(url), F.array_join(F.slice(parts, F.lit(1), k), "/")).alias("pattern"), (k + PREFIX).alias("rank")),
     )
     return F.concat(domain, prefix)
 
@@ -62,11 +66,12 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     """
     c = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(at_col).alias("fetched"))
     c = saved(c).withColumn("at", F.monotonically_increasing_id())
-    held = intervals(entries)
+    held = saved(intervals(entries))
+    longest = held.groupBy().agg(*[F.max(F.when(F.col("kind") == k, F.size(F.split("pattern", by)))) for k, by in (("domain", r"\."), ("prefix", "/"))]).first()
     # The list goes to SALTS parts of each key, so that the captures of one domain meet it in as many tasks.
     salt = F.pmod("at", F.lit(SALTS)).cast("int").alias("salt")
     held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    probe = c.select("at", "fetched", salt, F.explode(probes(F.col("url"))).alias("p")).select("at", "fetched", "salt", "p.*")
+    probe = c.select("at", "fetched", salt, F.explode(probes(F.col("url"), *[n or 1 for n in longest])).alias("p")).select("at", "fetched", "salt", "p.*")
     hit = probe.join(held, ["kind", "pattern", "salt"]).where((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
     best = hit.groupBy("at").agg(F.max(F.struct("rank", (F.col("action") == "allow").alias("a"), "pattern", "kind", "action")).alias("b"))
     return c.join(best, "at", "left").select(

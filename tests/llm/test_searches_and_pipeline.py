@@ -139,6 +139,17 @@ def test_entries_hold_from_date_to_date(spark):
 # Helpers and pipeline.
 
 
+def test_long_hosts_and_deep_paths_meet_their_entries(spark):
+    host, path = ".".join(f"l{k}" for k in range(130)), "/".join(f"s{k}" for k in range(40))
+    day = datetime.date(2024, 1, 2)
+    entries = [(host, "domain", "block", day), (host + "/" + path, "prefix", "allow", day), ("l129", "domain", "block", day), (host + "/s0", "prefix", "block", day)]
+    captures = [(1, f"http://{host}/", day), (2, f"http://{host}/{path}/more?q", day), (3, f"http://x.{host}/{path}", day), (4, "http://other.l129/", day), (5, f"http://{host}/s0/s1", day)]
+    listed = spark.createDataFrame(entries, "pattern string, kind string, action string, since date")
+    got = {r["id"]: (r["pattern"], r["action"]) for r in url_filter.evaluate(spark.createDataFrame(captures, "page_id long, url string, fetched date"), listed).collect()}
+    assert got == {1: (host, "block"), 2: (host + "/" + path, "allow"), 3: (host, "block"), 4: ("l129", "block"), 5: (host + "/s0", "block")}
+    assert {r["action"] for r in url_filter.evaluate(spark.createDataFrame(captures, "page_id long, url string, fetched date"), listed.limit(0)).collect()} == {"none"}
+
+
 def test_rank_is_gapless_in_hot_groups(spark):
     df = saved(spark.createDataFrame([(None if i % 3 else i % 2, i % 4, i) for i in range(500)], "g int, o int, i long"))
     rows = with_rank(df, ["g"], 16, order=["o"]).collect()
