@@ -100,7 +100,7 @@ def features(kind: str, x: Column) -> list[Column]:
     word = lambda w: before.rlike(rf"(?i)\b(?:{w})\b[^\p{{L}}]*$")
     return {
         "email": lambda: [
-            v.contains("@"), v.rlike(r"[(\[{]"), v.rlike(r"[A-Za-z]{2,}$"), v.rlike(r"^[^@(\[{]*[0-9]"), v.contains(" "), v.rlike(r"^[A-Za-z]+\."), *glued,
+            v.rlike(r"\.[A-Za-z0-9-]+\."), v.rlike(r"^[A-Za-z0-9]"), v.rlike(r"[A-Za-z]{2,}$"), v.rlike(r"^[^@(\[{]*[0-9]"), v.rlike(r"[A-Za-z]"), v.rlike(r"^[A-Za-z]+\."), *glued,
             word("e-?mail|mail|contact|write|to|correo|courriel"), F.length(v) > 6,
         ],
         "ip": lambda: [
@@ -112,14 +112,27 @@ def features(kind: str, x: Column) -> list[Column]:
             word("card|visa|credit|account|karte|tarjeta|carte|no"),
         ],
         "phone": lambda: [
-            v.startswith("+"), v.contains("("), v.rlike(r"[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}$"), n.between(9, 15), n.between(10, 11), v.rlike(r"^[0-9.]+$"), before.rlike(r"[0-9].{0,2}$"),
+            before.rlike(r"[:\n]\x20?$|^$"), v.contains("("), v.rlike(r"[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}$"), n.between(9, 15), n.between(10, 11), v.rlike(r"^[0-9.]+$"), before.rlike(r"[0-9].{0,2}$"),
             *glued, word("tel|phone|call|fax|mobile|telefon|teléfono|cell"),
         ],
     }[kind]()
 
 
+def evident(kind: str, x: Column) -> Column:
+    """Evidence apart from the base rules that a candidate of valid format is of its kind."""
+    v, f = x["v"], features(kind, x)
+    return {
+        # A spelled-out sign in brackets, and a domain that ends as domains do.
+        "email": lambda: v.rlike(r"[(\[{]at[)\]}]") & v.rlike(r"(?:\.|[)\]}]\x20?)[A-Za-z]{2,}$"),
+        "ip": lambda: f[8] & ~f[9] & ~v.contains(","),
+        "card": lambda: f[9] & f[1] & ~f[7] & ~f[8],
+        # A national number in groups of 3, 3 and 4, in brackets or after a word for it.
+        "phone": lambda: v.rlike(r"^\(?[0-9]{3}\)?[\x20.-]{0,2}[0-9]{3}[\x20.-][0-9]{4}$") & (f[1] | f[9]) & ~f[7] & ~f[8],
+    }[kind]()
+
+
 def candidates(text: Column, base: dict[str, Column]) -> Column:
-    """All candidates as (k, s, e, mask, label): 1 equals a base span, 0 breaks a rule or lies on another kind, null is open."""
+    """All candidates as (k, s, e, mask, label): 1 equals a base span or has evidence of its own, 0 breaks a rule or lies on another kind, null is open."""
 
     def described(i: int, k: str) -> Callable[[Column], Column]:
         others = F.concat(*[base[o] for o in KINDS if o != k])
@@ -129,7 +142,7 @@ def candidates(text: Column, base: dict[str, Column]) -> Column:
             cross = F.exists(others, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
             wrong = cross | ~VALID[k](x["v"]) if k != "email" else cross
             mask = sum((F.when(f, 1 << b).otherwise(0) for b, f in enumerate(features(k, x))), F.lit(0))
-            return F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"), mask.alias("mask"), F.when(same, 1).when(wrong, 0).alias("label"))
+            return F.struct(F.lit(i).alias("k"), x["s"].alias("s"), x["e"].alias("e"), mask.alias("mask"), F.when(same, 1).when(wrong, 0).when(evident(k, x), 1).alias("label"))
 
         return one
 
@@ -176,18 +189,18 @@ def boost(masks: np.ndarray, good: np.ndarray, bad: np.ndarray, rounds: int = 30
     return 1 / (1 + np.exp(-out))
 
 
-def choose(counts: list[tuple[int, int, int | None, bool, int]], precision: float = 0.99, unknown: float = 0.2) -> dict[int, list[int]]:
+def choose(counts: list[tuple[int, int, int | None, bool, int]], precision: float = 0.99) -> dict[int, list[int]]:
     """For each kind the masks that pass. ``counts``: kind, mask, label, whether it calibrates, candidates.
 
-    Open candidates count as bad with weight ``unknown``. The threshold is the least probability at which, among the
+    Open candidates teach nothing. The threshold is the least probability at which, among the
     candidates kept for calibration, at least ``precision`` of the weight is good; without such there is none.
     """
     out: dict[int, list[int]] = {}
     for i in range(len(KINDS)):
         sums = np.zeros((2, 2, 1024))  # fit or calibrate; bad or good
         for k, mask, label, calibrates, n in counts:
-            if k == i:
-                sums[int(calibrates), int(label == 1), mask] += n if label is not None else unknown * n
+            if k == i and label is not None:
+                sums[int(calibrates), int(label == 1), mask] += n
         seen = np.flatnonzero(sums[0].sum(0))
         out[i] = []
         if not len(seen) or not sums[0, 1].sum():

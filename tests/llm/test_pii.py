@@ -77,3 +77,19 @@ def test_overlaps_are_covered_once(spark):
     df = spark.createDataFrame([("abcdefghij",)], "t string")
     spans = F.expr("array(struct(1 as s, 0 as k, 5 as e), struct(3 as s, 2 as k, 7 as e), struct(9 as s, 3 as k, 10 as e))")
     assert df.select(pii.redacted(F.col("t"), spans).alias("x")).first()["x"] == "a<EMAIL>hi<PHONE>"
+
+
+def test_national_phones_and_spelled_out_addresses_are_found_at_every_frequency(spark):
+    plain = [f"Write to user{i}@mail.example.com, call +1 (604) 555-{1000 + i}, card 4111 1111 1111 1111, host 10.0.0.{i % 250}; part 7{i:03}55501{i % 10}2 in 2024.11.{i % 28}" for i in range(200)]
+    for many in (1, 20, 200):
+        docs = [(i, t) for i, t in enumerate(plain)]
+        planted = {}
+        for i in range(many):
+            for j, (kind, v) in enumerate([("phone", f"(604) 555-{2000 + i}"), ("phone", f"604-555-{2000 + i}"), ("email", f"john{i} (at) mail (dot) example.com")]):
+                lead = "tel " if j == 1 else "reach me under "
+                planted[1000 + 3 * i + j] = (f"{kind}:{len(lead)}:{len(lead) + len(v)}")
+                docs.append((1000 + 3 * i + j, lead + v + " please"))
+        got = {r["id"]: r["spans"] for r in pii.detect(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert {k: got[k] for k in planted} == planted
+        clean = [got[i] for i in range(200)]
+        assert all(s.count(",") == 3 for s in clean), clean[:2]
