@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 
 BITS = 12
 DIM = 1 << BITS
+CLASSES = 9  # of text lengths
+LONG = 3  # the least class whose texts are rejected by the cosines of their own length: 64 letters
 _LETTER: list[np.ndarray] = []
 
 
@@ -88,12 +90,17 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def length_class(letters: np.ndarray) -> np.ndarray:
+    """Letters by powers of four."""
+    return np.minimum(np.log2(np.maximum(letters, 1)) // 2, CLASSES - 1).astype(int)
+
+
 @dataclass
 class CentroidModel:
     idf: np.ndarray = field(default_factory=lambda: np.ones(DIM, np.float32))
     langs: list[str] = field(default_factory=list)  # of each centroid
     centroids: np.ndarray = field(default_factory=lambda: np.zeros((0, DIM), np.float32))
-    floor: float = 0.0  # cosines below it are rejected
+    floors: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES))  # cosines below that of the length class are rejected
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """(language, cosine, rejected) of each text; ``und``, 0 and rejected without a letter or a model."""
@@ -105,7 +112,7 @@ class CentroidModel:
         score = np.clip(sims[np.arange(len(best)), best], 0, 1).astype(float)
         lang = [self.langs[b] if n else "und" for b, n in zip(best, letters, strict=True)]
         score[letters == 0] = 0
-        return lang, score.tolist(), ((letters == 0) | (score < self.floor)).tolist()
+        return lang, score.tolist(), ((letters == 0) | (score < self.floors[length_class(letters)])).tolist()
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", clusters: int = 4, sample_per_lang: int = 400, most_langs: int = 200) -> CentroidModel:
@@ -147,30 +154,38 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
 
     def embed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _slices(batches, 0):
-            x = vectors(counts(texts)[0], idf).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "h", "v"])
+            grams, letters = counts(texts)
+            x = vectors(grams, idf).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(letters, pa.int64())], names=["lang", "h", "v", "letters"])
 
-    sample = picked.mapInArrow(embed, "lang string, h long, v binary").collect()
+    sample = picked.mapInArrow(embed, "lang string, h long, v binary, letters long").collect()
     by: dict[str, list] = {x: [] for x in langs}
     for r in sorted(sample, key=lambda r: (r["h"], r["v"])):
         if len(by[r["lang"]]) < 2 * sample_per_lang:  # repeated rows share a hash
-            by[r["lang"]].append(np.frombuffer(r["v"], np.float16).astype(np.float32))
-    names, cents, sims = [], [], []
+            by[r["lang"]].append((np.frombuffer(r["v"], np.float16).astype(np.float32), r["letters"]))
+    names, cents, sims, sizes = [], [], [], []
     for x in langs:
         if by[x]:
-            v = np.stack(by[x])
-            v = v[(v != 0).any(1)]
+            v, letters = np.stack([v for v, _ in by[x]]), np.array([n for _, n in by[x]])
+            v, letters = v[(v != 0).any(1)], letters[(v != 0).any(1)]
             if len(v):
                 c = kmeans(v, clusters)
                 names += [x] * len(c)
                 cents.append(c)
                 sims.append((v @ c.T).max(1))
+                sizes.append(length_class(letters))
     if not names:
         return CentroidModel()
     # A quarter of the cosine that all but one in a thousand of the sample reach: short texts of a language are far from
-    # its centroids too, while letters of another script hardly come near any.
-    floor = 0.25 * float(np.quantile(np.concatenate(sims), 0.001))
-    return CentroidModel(idf, names, np.concatenate(cents), floor)
+    # its centroids too. Long texts fill the bins, so those of other languages come nearer; there the floor is half of
+    # the cosine that all but one in a hundred of the sample's texts of that length reach, and never less than for shorter ones.
+    near, size = np.concatenate(sims), np.concatenate(sizes)
+    floors = np.full(CLASSES, 0.25 * float(np.quantile(near, 0.001)))
+    floors[:2] /= 2  # under 16 letters a text holds few of its language's grams
+    for k in range(LONG, CLASSES):
+        same = near[size == k]
+        floors[k] = max(floors[k - 1], 0.5 * float(np.quantile(same, 0.01))) if len(same) >= 20 else floors[k - 1]
+    return CentroidModel(idf, names, np.concatenate(cents), floors)
 
 
 def identify(docs: DataFrame, model: CentroidModel, text_col: str = "text") -> DataFrame:

@@ -182,6 +182,22 @@ def test_language_ids(spark, empty):
     assert all(0 <= s <= 1 for s in scores)
 
 
+def test_long_foreign_texts_are_rejected_and_short_clean_ones_are_not(spark):
+    path = "/root/testdata/sf0.01"
+    import os
+
+    if not os.path.isdir(path):
+        pytest.skip("no test tables")
+    model = langid.fit(spark.read.parquet(f"{path}/documents.parquet").where(~langid.held_out("doc_id")))
+    rng = random.Random(3)
+    foreign = []
+    for first, n in ((0x430, 32), (0x4E00, 3000), (0x3B1, 24), (0x627, 28)):
+        for words in (500, 3000):
+            foreign += [" ".join("".join(chr(first + rng.randrange(n)) for _ in range(rng.randint(2, 9))) for _ in range(words)) for _ in range(3)]
+    assert all(model.predict(foreign)[2])
+    assert not any(model.predict(["The house and the river", "Das Haus und der Fluss", "La maison et la rivière", "La casa y el río"])[2])
+
+
 def test_grams_do_not_cross_documents():
     both, _ = langid.counts(["abc def", "ghi"])
     one, two = langid.counts(["abc def"])[0], langid.counts(["ghi"])[0]
