@@ -117,7 +117,7 @@ class CentroidModel:
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", clusters: int = 4, sample_per_lang: int = 400, most_langs: int = 200) -> CentroidModel:
     """Learn from labelled rows. Document frequencies cover all of them; the centroids are fitted on a sample of at
-    most about ``sample_per_lang`` rows of each of the ``most_langs`` most frequent languages, chosen by a hash of ``key_col``.
+    most about ``sample_per_lang`` rows of each language, chosen by a hash of ``key_col``; more than ``most_langs`` are an error.
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(key_col).cast("string")).alias("h"))
 
@@ -145,7 +145,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
             n_docs = r["n"]
         else:
             df[r["gram"]] = r["n"]
-    langs = sorted(sorted(per_lang, key=lambda x: (-per_lang[x], x))[:most_langs])
+    if len(per_lang) > most_langs:
+        raise ValueError(f"{len(per_lang)} languages, but most_langs is {most_langs}")
+    langs = sorted(per_lang)
     if not langs:
         return CentroidModel()
     idf = (np.log((1 + n_docs) / (1 + df)) + 1).astype(np.float32)

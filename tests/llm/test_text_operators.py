@@ -198,6 +198,13 @@ def test_long_foreign_texts_are_rejected_and_short_clean_ones_are_not(spark):
     assert not any(model.predict(["The house and the river", "Das Haus und der Fluss", "La maison et la rivière", "La casa y el río"])[2])
 
 
+def test_no_language_is_left_out_in_silence(spark):
+    docs = spark.createDataFrame([(i, "alpha beta", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="4 languages"):
+        langid.fit(docs, most_langs=3)
+    assert set(langid.fit(docs, most_langs=4).langs) == {"l0", "l1", "l2", "l3"}
+
+
 def test_grams_do_not_cross_documents():
     both, _ = langid.counts(["abc def", "ghi"])
     one, two = langid.counts(["abc def"])[0], langid.counts(["ghi"])[0]
