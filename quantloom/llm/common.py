@@ -35,6 +35,23 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved_rows(df: DataFrame, number: str) -> DataFrame:
+    """``saved`` with a number for each row in the column ``number``.
+
+    The number is written with the row. Put on after reading, it would follow the file splits, which follow the
+    executors at hand, and two scans of one query could disagree.
+    """
+    return saved(df.withColumn(number, F.monotonically_increasing_id()))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_saved(df: DataFrame) -> None:
     """Delete the files of a table made by ``saved`` that no later stage reads."""
     spark = df.sparkSession
@@ -44,24 +61,42 @@ def drop_saved(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+HOT, MOST_HOT = 50_000, 1000
+
+
+def hot_from(total: int) -> int:
+    """The least number of rows of a key that is treated as hot: more than ``HOT`` and more than a thousandth of all."""
+    return max(HOT, total // MOST_HOT)
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with the one row of ``table`` for their ``key``; ``n`` is a column with how many rows the key has, ``total`` all rows.
+
+    Rows of hot keys do not meet in one task: fewer than ``MOST_HOT`` keys can be hot, so their part of ``table`` is broadcast.
+    """
+    if total <= HOT:  # no key can be hot
+        return rows.join(table.drop(n), key)
+    hot = F.broadcast(table.where(F.col(n) > hot_from(total)).drop(n))
+    cold = table.where(F.col(n) <= hot_from(total)).drop(n)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def cells_for(rows: int, per_cell: int = 100_000, least: int = 64, most: int = 65_536) -> int:
     """Number of salts that keeps a third of all rows in cells of ``per_cell`` rows or fewer."""
     return max(least, min(most, -(-rows // per_cell)))
 
 
-def with_rank(df: DataFrame, group: list[str], cells: int, order: list | None = None, tie: str | None = None) -> DataFrame:
+def with_rank(df: DataFrame, group: list[str], cells: int, tie: str, order: list | None = None) -> DataFrame:
     """Add ``rank``: 0, 1, 2, ... without gaps inside each group, balanced however large a group is.
 
-    ``df`` must be stable (a table that was written); the salt comes from the place of a row
-    in it, so copies of a row and null keys spread as well. ``order`` (columns of low
-    cardinality in a group) puts the cells of a group in that order. ``tie``, a long that tells rows apart by what they
-    hold, takes the place of the place, so that ranks do not depend on how the table is split.
+    ``tie`` is a long that is stored with each row: its number, or a hash of all that it holds (equal rows then share it). Salts and ranks
+    follow from it alone, so they do not depend on how a table is split or on which executors read it; copies of a
+    row and null keys spread as well. ``order`` (columns of low cardinality in a group) puts the cells of a group in that order.
     """
     from pyspark.sql import Window
 
     order = order or []
-    at = df.withColumn("__at", F.col(tie) if tie else F.monotonically_increasing_id()).withColumn("__cell", F.pmod(F.xxhash64("__at"), F.lit(cells)))
-    keys = [*group, *order, "__cell"]
+    at = df.withColumn("__cell", F.pmod(F.xxhash64(F.col(tie)), F.lit(cells)))
     # A null-safe key, so that the join below keeps rows with null keys.
     at = at.withColumn("__key", F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\0null")) for k in group + order] or [F.lit(0)]))
     counts = at.groupBy("__key", "__cell", *group, *order).agg(F.count(F.lit(1)).alias("__n"))
@@ -74,10 +109,10 @@ def with_rank(df: DataFrame, group: list[str], cells: int, order: list | None =
     inside = F.sum("__n").over(Window.partitionBy("__key").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
     first = counts.select("__key", "__cell", F.coalesce(inside, F.lit(0)).alias("__in"))
     first = first.join(level.select("__key", "__base"), "__key").select("__key", "__cell", (F.col("__in") + F.col("__base")).alias("__first"))
-    nth = F.row_number().over(Window.partitionBy("__key", "__cell").orderBy("__at"))
+    nth = F.row_number().over(Window.partitionBy("__key", "__cell").orderBy(tie))
     return (
         at.withColumn("__nth", nth)
         .join(first, ["__key", "__cell"])
         .withColumn("rank", F.col("__nth") - 1 + F.col("__first"))
-        .drop("__at", "__cell", "__key", "__nth", "__first")
+        .drop("__cell", "__key", "__nth", "__first")
     )

@@ -70,7 +70,7 @@ def mix(docs: DataFrame, size, weights: tuple[int, ...] = (1, 2, 3), most: int =
     table = rates({r["source"]: r["size"] for r in totals}, weights, most, seed)
     spark = docs.sparkSession
     table = spark.createDataFrame(table, "s string, source_size long, target double, each decimal(19,18), offset decimal(18,18)")
-    ranked = with_rank(rows, ["source"], cells_for(sum(r["n"] for r in totals), 20_000, 16), order=["bin"], tie="tie")
+    ranked = with_rank(rows, ["source"], cells_for(sum(r["n"] for r in totals), 20_000, 16), tie="tie", order=["bin"])
     at = lambda k: F.floor(k.cast("decimal(15,0)") * F.col("each") + F.col("offset")).cast("long")
     mixed = ranked.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", at(F.col("rank") + 1) - at(F.col("rank")))
     return mixed.select(

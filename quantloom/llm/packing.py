@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cells_for, saved, with_rank
+from .common import cells_for, saved_rows, with_rank
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -38,8 +38,9 @@ class _Ids(dict):
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         core = text.rstrip(string.punctuation)
-        if core != text and core and core[-1].isalpha() and b"<|" not in word:
-            # Letters end where the stops begin, and the stops are one pre-token.
+        if core != text and core and core[-1].isascii() and core[-1].isalpha() and b"<|" not in word:
+            # Letters end where the stops begin, and the stops are one pre-token. Other letters than ASCII ones may end in
+            # a combining mark once they are normalised, which goes with the stops.
             out = self[core.encode()] + self[text[len(core) :].encode()]
         elif self.plain and text.isalpha() and (text.isascii() or max(text) < "ƀ") and text.lower() == text:
             # One run of small Latin letters is one pre-token and needs no normalisation.
@@ -207,14 +208,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, last_id: int = 0
         return tokenise(batches, tokenizer, capacity, last_id)
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    pieces = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES.replace("doc_id long", f"doc_id {id_type}")))
+    pieces = saved_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES.replace("doc_id long", f"doc_id {id_type}")), "at")
     # At most `capacity` rows reach the driver.
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, _ = plan(counts, capacity)
     spark = docs.sparkSession
     # The number of runs depends on the distinct lengths, not on the documents.
     table = spark.createDataFrame(runs, "length long, first long, n long, per long, seq long, off long")
-    ranked = with_rank(pieces, ["length"], cells_for(sum(counts.values())))
+    ranked = with_rank(pieces, ["length"], cells_for(sum(counts.values())), tie="at")
     at = F.col("rank") - F.col("first")
     return (
         ranked.join(F.broadcast(table), "length")

@@ -12,7 +12,7 @@ import bisect
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cells_for, saved, with_rank
+from .common import cells_for, saved, saved_rows, with_rank
 
 FIRST, NEXT = 16, 10  # bits of the order key that the first and each further level tell apart
 
@@ -105,13 +105,13 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     rows = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")
     )
-    rows = saved(rows)
+    rows = saved_rows(rows, "at")
     groups = rows.groupBy("key").agg(F.sum("size").alias("size"))
     n = rows.count()
     cuts = minimax_cuts(saved(groups), shards) if n else []
     # Unsigned order of signed longs: flip the first bit.
     flipped = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))
     shard = sum((F.when(flipped >= F.lit(c - (1 << 63)), 1).otherwise(0) for c in cuts), F.lit(0))
-    placed = with_rank(rows.withColumn("shard", shard.cast("int")), ["shard"], cells_for(n, 20_000))
+    placed = with_rank(rows.withColumn("shard", shard.cast("int")), ["shard"], cells_for(n, 20_000), tie="at")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("rank").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
