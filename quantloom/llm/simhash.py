@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_saved, saved
+from .common import drop_saved, join_counted, saved
 
 GROUP = 4096  # largest group that one task compares by itself
 FANOUT = 8
@@ -214,21 +214,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b) but the roots: large-star and small-star by turns.
 
     A round links larger neighbours and then smaller ones to the least neighbour. Minima are
-    aggregated before they are shuffled, and every round is written to the shared folder.
+    aggregated before they are shuffled, nodes with very many links get theirs by broadcast, and every round is written to the shared folder.
     """
     edges = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    digest = None
+    digest, total = None, edges.count()
+    degree = F.count(F.lit(1)).alias("n")
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), degree).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_counted(both, least, "a", "n", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # Large-star never adds links, so ``total`` bounds these too.
+        low = large.groupBy("a").agg(F.min("b").alias("m"), degree)
+        small = join_counted(large, low, "a", "n", total)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         new = saved(small)
         state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_saved(edges)
-        edges = new
+        edges, total = new, state[0]
         if state == digest:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         digest = state
@@ -242,9 +244,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a group that has another id; repeated rows come out once each; an empty table gives no rows.
     """
     prints = saved(fingerprints(docs, id_col, text_col, width))
-    classes = saved(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(classes.select("fp"), classes.count(), distance))
-    member = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = member.groupBy("root").agg(F.min("least").alias("component"))
-    member = member.select("fp", "root").join(named, "root").select("fp", "component")
-    return prints.join(member, "fp").select("id", "fp", "component")
+    classes = saved(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    distinct, rows = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    roots = components(links(classes.select("fp"), distinct, distance))
+    member = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    named = member.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("many"))
+    member = join_counted(member.select("fp", "n", "root"), named, "root", "many", distinct).select("fp", "n", "component")
+    # Copies share a fingerprint, and it may be that of a third of all rows.
+    return join_counted(prints, member, "fp", "n", rows).select("id", "fp", "component")
