@@ -10,14 +10,16 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BITS = 12
 DIM = 1 << BITS
 CLASSES = 9  # of text lengths
+NEW = ("pred", "score", "rejected")
 LONG = 3  # the least class whose texts are rejected by the cosines of their own length: 64 letters
 _LETTER: list[np.ndarray] = []
 
@@ -115,44 +117,46 @@ class CentroidModel:
         return lang, score.tolist(), ((letters == 0) | (score < self.floors[length_class(letters)])).tolist()
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", clusters: int = 4, sample_per_lang: int = 400, most_langs: int = 200) -> CentroidModel:
-    """Learn from labelled rows. Document frequencies cover all of them; the centroids are fitted on a sample of at
-    most about ``sample_per_lang`` rows of each language, chosen by a hash of ``key_col``; more than ``most_langs`` are an error.
+def _fitted(lang: str, x: np.ndarray, letters: np.ndarray, clusters: int) -> tuple:
+    """(lang, centroids, cosines of the sample with the nearest one, length classes), arrays as bytes."""
+    some = (x != 0).any(1)
+    x, letters = x[some], letters[some]
+    c = kmeans(x, clusters) if len(x) else x
+    near = (x @ c.T).max(1) if len(x) else np.zeros(0)
+    return lang, c.astype(np.float32).tobytes(), near.astype(np.float32).tobytes(), length_class(letters).astype(np.int8).tobytes()
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", clusters: int = 4, sample_per_lang: int = 400, most_langs: int = 1000) -> CentroidModel:
+    """Learn from labelled rows. Document frequencies cover all of them; the centroids are fitted on a sample of about
+    ``sample_per_lang`` rows of each language (twice that at most), chosen by a hash of ``key_col``, each language in a task of its own.
+
+    The driver gets the centroids, some 70 KB a language; more than ``most_langs`` languages are an error. Null texts count as empty and
+    rows without a language teach nothing; an empty table gives a model that rejects all.
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(key_col).cast("string")).alias("h"))
-
-    def frequency(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(DIM, np.int64), 0
-        langs: dict[str, int] = {}
-        for part, texts in _slices(batches, 0):
-            grams, _ = counts(texts)
-            total += (grams > 0).sum(0)
-            n += len(texts)
-            for x in part.column(1).to_pylist():
-                langs[x] = langs.get(x, 0) + 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*range(DIM), DIM, *[None] * len(langs)], pa.int32()), pa.array([*[None] * (DIM + 1), *langs], pa.string()), pa.array([*total.tolist(), n, *langs.values()], pa.int64())],
-            names=["gram", "lang", "n"],
-        )
-
-    # One row for each gram and language.
-    found = rows.select("text", "lang").mapInArrow(frequency, "gram int, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).collect()
-    df, n_docs, per_lang = np.zeros(DIM), 0, {}
-    for r in found:
-        if r["lang"] is not None:
-            per_lang[r["lang"]] = r["n"]
-        elif r["gram"] == DIM:
-            n_docs = r["n"]
-        else:
-            df[r["gram"]] = r["n"]
+    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_langs + 1).collect()}
     if len(per_lang) > most_langs:
-        raise ValueError(f"{len(per_lang)} languages, but most_langs is {most_langs}")
-    langs = sorted(per_lang)
-    if not langs:
+        raise ValueError(f"more than {most_langs} languages")
+    if not per_lang:
         return CentroidModel()
+    spark, n_docs = docs.sparkSession, sum(per_lang.values())
+
+    def frequency(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(DIM, np.int64)
+        for _, texts in _slices(batches, 0):
+            total += (counts(texts)[0] > 0).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(DIM), pa.int32()), pa.array(total)], names=["gram", "n"])
+
+    df = np.zeros(DIM)
+    for r in rows.select("text").mapInArrow(frequency, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+        df[r["gram"]] = r["n"]
     idf = (np.log((1 + n_docs) / (1 + df)) + 1).astype(np.float32)
-    share = F.create_map(*[F.lit(v) for x in langs for v in (x, min(1.0, sample_per_lang / per_lang[x]))])
-    picked = rows.where(F.pmod("h", F.lit(1_000_003)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * 1_000_003)
+    # At most ``most_langs`` rows.
+    share = F.broadcast(spark.createDataFrame([(x, min(1.0, sample_per_lang / n)) for x, n in per_lang.items()], "lang string, share double"))
+    picked = rows.join(share, "lang").where(F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    # Repeated rows share a hash, so they are counted as well.
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))
+    picked = picked.select("text", "lang", "h", nth.alias("nth")).where(F.col("nth") <= 2 * sample_per_lang).select("text", "lang", "h")
 
     def embed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _slices(batches, 0):
@@ -160,28 +164,22 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
             x = vectors(grams, idf).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(letters, pa.int64())], names=["lang", "h", "v", "letters"])
 
-    sample = picked.mapInArrow(embed, "lang string, h long, v binary, letters long").collect()
-    by: dict[str, list] = {x: [] for x in langs}
-    for r in sorted(sample, key=lambda r: (r["h"], r["v"])):
-        if len(by[r["lang"]]) < 2 * sample_per_lang:  # repeated rows share a hash
-            by[r["lang"]].append((np.frombuffer(r["v"], np.float16).astype(np.float32), r["letters"]))
-    names, cents, sims, sizes = [], [], [], []
-    for x in langs:
-        if by[x]:
-            v, letters = np.stack([v for v, _ in by[x]]), np.array([n for _, n in by[x]])
-            v, letters = v[(v != 0).any(1)], letters[(v != 0).any(1)]
-            if len(v):
-                c = kmeans(v, clusters)
-                names += [x] * len(c)
-                cents.append(c)
-                sims.append((v @ c.T).max(1))
-                sizes.append(length_class(letters))
+    def clustered(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "v"])
+        x = np.stack([np.frombuffer(v, np.float16) for v in pdf["v"]]).astype(np.float32)
+        return pd.DataFrame([_fitted(pdf["lang"].iloc[0], x, pdf["letters"].to_numpy(), clusters)], columns=["lang", "c", "near", "size"])
+
+    # One row for each language, from a bounded group of vectors.
+    found = picked.mapInArrow(embed, "lang string, h long, v binary, letters long").groupBy("lang").applyInPandas(clustered, "lang string, c binary, near binary, size binary")
+    found = sorted(found.collect(), key=lambda r: r["lang"])
+    cents = [np.frombuffer(r["c"], np.float32).reshape(-1, DIM) for r in found]
+    names = [r["lang"] for r, c in zip(found, cents, strict=True) for _ in c]
     if not names:
         return CentroidModel()
     # A quarter of the cosine that all but one in a thousand of the sample reach: short texts of a language are far from
     # its centroids too. Long texts fill the bins, so those of other languages come nearer; there the floor is half of
     # the cosine that all but one in a hundred of the sample's texts of that length reach, and never less than for shorter ones.
-    near, size = np.concatenate(sims), np.concatenate(sizes)
+    near, size = np.concatenate([np.frombuffer(r["near"], np.float32) for r in found]), np.concatenate([np.frombuffer(r["size"], np.int8) for r in found])
     floors = np.full(CLASSES, 0.25 * float(np.quantile(near, 0.001)))
     floors[:2] /= 2  # under 16 letters a text holds few of its language's grams
     for k in range(LONG, CLASSES):
@@ -190,17 +188,17 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     return CentroidModel(idf, names, np.concatenate(cents), floors)
 
 
-def identify(docs: DataFrame, model: CentroidModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, lang_score and lang_rejected; nothing but the text is read for them.
+def identify(docs: DataFrame, model: CentroidModel, text_col: str = "text", prefix: str = "lang_") -> DataFrame:
+    """``docs`` with ``prefix`` + pred, score and rejected; nothing but the text is read for them.
 
     A null, empty or letterless text is ``und`` and rejected. Copies get equal answers; other columns pass through
     unread, and an empty table stays empty. A column of ``docs`` with one of the new names is replaced.
     """
-    new = ("lang_pred", "lang_score", "lang_rejected")
-    kept = [c for c in docs.columns if c not in new]
+    new = [prefix + c for c in NEW]
+    kept = [c for c in docs.columns if c.lower() not in new]
     at = kept.index(text_col)
-    src = docs.select(*kept)
-    schema = StructType(list(src.schema.fields)).add("lang_pred", "string").add("lang_score", "double").add("lang_rejected", "boolean")
+    src = docs.select(*[F.col(f"`{c}`") for c in kept])
+    schema = StructType(list(src.schema.fields)).add(new[0], "string").add(new[1], "double").add(new[2], "boolean")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _slices(batches, at):
