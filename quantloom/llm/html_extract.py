@@ -28,6 +28,7 @@ WORD = re.compile(r"[a-z]+|[0-9]+")
 
 # Fixed sets of HTML: elements without text of their own, without end tags, inside a line, and not shown as prose.
 RAW = {"script", "style", "noscript", "template", "iframe", "noembed", "noframes", "textarea", "title", "svg", "math", "object", "audio", "video", "canvas", "xmp"}
+TO_THE_END = {"script", "style", "iframe", "noembed", "noframes", "textarea", "title", "xmp"}  # of these, what is not closed hides the rest of a page
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s",
@@ -44,9 +45,10 @@ BOILER = set(
     "complementary contentinfo".split()
 )
 CONTENT = set("article articlebody content post entry story main maincontent body text prose".split())
-# Linear classifier: bias; boilerplate element or name, main element, content name; link share; log words; stops; heading.
-WEIGHTS = {"bias": -1.2, "frame": -9.0, "form": -9.0, "boiler": -9.0, "main": 4.0, "content": 2.0, "links": -4.0, "words": 0.9, "stop": 0.8, "heading": 0.6}
-SCALE, NEXT, PARENT = 1000, 0.6, 0.4  # capacities are whole thousandths; smoothness of neighbours and of one parent
+# Linear classifier: bias; boilerplate element or name, main element, content name; link share; log words; stops; heading. Markup that
+# names a part decides by itself; where it says nothing, costs are small and the neighbours of a block count as much as the block.
+WEIGHTS = {"bias": -1.6, "frame": -7.0, "form": -7.0, "boiler": -7.0, "main": 2.5, "content": 1.0, "links": -3.0, "words": 0.9, "stop": 0.8, "heading": 0.6}
+SCALE, NEXT, PARENT = 1000, 1.0, 0.8  # capacities are whole thousandths; smoothness of neighbours and of one parent
 
 
 class _Open:
@@ -138,8 +140,10 @@ def blocks(page: str) -> list[Block]:
             if not m["attrs"].endswith("/") or name not in ("svg", "math"):
                 low = low if low is not None else page.lower()
                 end = low.find(f"</{name}", at) if len(low) == size else page.find(f"</{name}", at)
-                if end < 0:
+                if end < 0 and name in TO_THE_END:
                     break
+                if end < 0:
+                    continue
                 end = page.find(">", end)
                 at = size if end < 0 else end + 1
             continue
@@ -238,11 +242,8 @@ def min_cut(source: list[int], sink: list[int], edges: list[tuple[int, int, int]
                 break
 
 
-def extract(page: str | None) -> str:
-    """Content blocks of a page, one on a line; empty for a null or empty page or one without content."""
-    found = blocks(page or "")
-    if not found:
-        return ""
+def labels(found: list[Block]) -> list[bool]:
+    """Whether each block is content, by the minimum cut."""
     source, sink, edges = [], [], []
     parents: dict[int, list[int]] = {}
     for i, b in enumerate(found):
@@ -259,12 +260,21 @@ def extract(page: str | None) -> str:
             source.append(0)
             sink.append(0)
             edges += [(i, len(source) - 1, round(SCALE * PARENT)) for i in members]
-    content = min_cut(source, sink, edges)
-    return "\n".join(b.text for b, c in zip(found, content, strict=False) if c)
+    return min_cut(source, sink, edges)[: len(found)]
+
+
+def extract(page: str | None) -> str:
+    """Content blocks of a page, one on a line; empty for a null or empty page or one without content."""
+    found = blocks(page or "")
+    return "\n".join(b.text for b, c in zip(found, labels(found), strict=True) if c)
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """``pages`` with the main text in place of the HTML; every row comes out once, whatever the other columns hold."""
+    """``pages`` with the main text in place of the HTML; every row comes out once, whatever the other columns hold.
+
+    A null or empty page, and one without content, has an empty text; whole pages are read, however long. Repeated rows and null
+    ids come out like others, a column named ``out_col`` is replaced, and an empty table gives no rows.
+    """
     kept = [c for c in pages.columns if c not in (html_col, out_col)]
     src = pages.select(*kept, F.col(html_col))
     schema = StructType([pages.schema[c] for c in kept]).add(out_col, "string")
