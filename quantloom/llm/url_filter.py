@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import hot_from, saved, saved_rows
 
 PREFIX = 1 << 30  # any prefix is more specific than any domain
-SALTS = 16
+KEYS = 1 << 16  # hash ranges by which probes are counted
 
 
 def host(url: Column) -> Column:
@@ -29,12 +29,14 @@ def path(url: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, kind, action, since, until): until is null for the last entry; repeated entries count once.
 
-    Entries with a null pattern, kind, action or date are void. Two on one date: ``allow`` comes last and wins.
+    Entries with a null pattern, kind, action or date are void. Two on one date: ``allow`` comes last and wins. An entry that
+    repeats the action before it goes on with its interval, so a list that is published every day has no more intervals than changes.
     """
     rank = F.expr("CASE action WHEN 'lift' THEN 0 WHEN 'block' THEN 1 ELSE 2 END")
     e = entries.select("pattern", "kind", "action", "since").dropna().withColumn("strength", rank)
     e = e.groupBy("pattern", "kind", "since").agg(F.max_by("action", "strength").alias("action"))
     nth = Window.partitionBy("pattern", "kind").orderBy("since")
+    e = e.withColumn("before", F.lag("action").over(nth)).where("before IS NULL OR before <> action").drop("before")
     return e.withColumn("until", F.lead("since").over(nth)).where("action <> 'lift'")
 
 
@@ -61,18 +63,26 @@ def probes(url: Column, most_labels: int, most_parts: int) -> Column:
 def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", at_col: str = "fetched") -> DataFrame:
     """(id, url, host, fetched, pattern, kind, action) for every capture; action ``none`` where no entry holds.
 
-    Every capture has a number, by which its hits are aggregated, so a host with a third of all captures is spread
-    over all tasks. Null URLs and times match nothing. Repeated captures come out as often as they came in.
+    Every capture has a written number, by which its hits are aggregated. Keys that many captures probe are dealt into parts
+    by that number, as many as their load asks for, and their entries go to every part. Null URLs and times match nothing. Repeated captures
+    come out as often as they came in; other columns, whatever their names, are not read; without captures there are no rows, and
+    without entries every action is ``none``.
     """
     c = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(at_col).alias("fetched"))
-    c = saved(c).withColumn("at", F.monotonically_increasing_id())
+    c = saved_rows(c, "at")
     held = saved(intervals(entries))
     longest = held.groupBy().agg(*[F.max(F.when(F.col("kind") == k, F.size(F.split("pattern", by)))) for k, by in (("domain", r"\."), ("prefix", "/"))]).first()
-    # The list goes to SALTS parts of each key, so that the captures of one domain meet it in as many tasks.
-    salt = F.pmod("at", F.lit(SALTS)).cast("int").alias("salt")
-    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    probe = c.select("at", "fetched", salt, F.explode(probes(F.col("url"), *[n or 1 for n in longest])).alias("p")).select("at", "fetched", "salt", "p.*")
-    hit = probe.join(held, ["kind", "pattern", "salt"]).where((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
+    key = F.pmod(F.xxhash64("kind", "pattern"), F.lit(KEYS)).cast("int").alias("key")
+    probe = c.select("at", "fetched", F.explode(probes(F.col("url"), *[n or 1 for n in longest])).alias("p")).select("at", "fetched", "p.*")
+    probe, held = probe.select("*", key), held.select("*", key)
+    # At most KEYS counts reach the driver, and fewer than MOST_HOT of them can be hot.
+    load = {r["key"]: r["n"] for r in probe.groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = hot_from(sum(load.values()))
+    parts = F.broadcast(c.sparkSession.createDataFrame([(k, -(-n // most)) for k, n in load.items() if n > most], "key int, parts int"))
+    one = F.coalesce("parts", F.lit(1))
+    probe = probe.join(parts, "key", "left").withColumn("part", F.pmod(F.xxhash64("at"), one).cast("int")).drop("parts")
+    held = held.join(parts, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
+    hit = probe.join(held, ["kind", "pattern", "key", "part"]).where((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
     best = hit.groupBy("at").agg(F.max(F.struct("rank", (F.col("action") == "allow").alias("a"), "pattern", "kind", "action")).alias("b"))
     return c.join(best, "at", "left").select(
         "id", "url", host(F.col("url")).alias("host"), "fetched", F.col("b.pattern").alias("pattern"), F.col("b.kind").alias("kind"), F.coalesce("b.action", F.lit("none")).alias("action")
