@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved_rows
 
 LAST = (1 << 63) - 1  # stands for a null id, behind all others
+MOST_TASKS = 20_000
 
 
 def usable(vec_col: str):
@@ -27,45 +28,47 @@ def numbered(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """
     kind = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("vec")).where(usable("vec"))
-    rows = saved(rows)
+    rows = saved_rows(rows, "uid")
     lengths = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     dim = lengths[0]["d"] if lengths else 0
-    return rows.where(F.size("vec") == dim).withColumn("uid", F.monotonically_increasing_id())
+    return rows.where(F.size("vec") == dim)
 
 
-def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, row numbers and vectors."""
+def arrays(table: pa.Table, more: tuple[str, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Ids, row numbers, vectors and further columns."""
     flat = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     # Vectors travel in the precision that they came in, and are computed with in double.
-    return table.column("id").to_numpy(), table.column("uid").to_numpy(), flat.astype(np.float64, copy=False).reshape(table.num_rows, -1)
+    return table.column("id").to_numpy(), table.column("uid").to_numpy(), flat.astype(np.float64, copy=False).reshape(table.num_rows, -1), *[table.column(c).to_numpy() for c in more]
 
 
-def meetings(candidates: DataFrame, queries: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:
-    """``run(ids, uids, vectors)`` makes an index of the candidates of one key; its ``ask(ids, uids, vectors)`` gives a record
-    batch for a block of the queries of that key. Candidates of a key must be bounded, queries stream past them.
+def meetings(candidates: DataFrame, queries: DataFrame, cells: int, run: Callable, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """``run(cell, ids, uids, vectors, *more)`` makes an index of the candidates of one ``cell`` (0 to ``cells`` - 1); its
+    ``ask(ids, uids, vectors, *more)`` gives a record batch for a block of the queries of that cell. Candidates of a cell must be bounded,
+    queries stream past them. A cell is a task of its own, as far as tasks go.
     """
-    columns = [*keys, "kind", "uid", F.coalesce("id", F.lit(LAST)).alias("id"), "vec"]
+    columns = ["cell", "kind", "uid", F.coalesce("id", F.lit(LAST)).alias("id"), "vec", *more]
     both = candidates.withColumn("kind", F.lit(0)).select(*columns).union(queries.withColumn("kind", F.lit(1)).select(*columns))
-    dealt = both.repartition(*keys).sortWithinPartitions(*keys, "kind", "uid")
-    return dealt.mapInArrow(lambda batches: _meet(batches, keys, run), schema)
+    dealt = both.repartitionById(max(1, min(cells, MOST_TASKS)), "cell").sortWithinPartitions("cell", "kind", "uid")
+    return dealt.mapInArrow(lambda batches: _meet(batches, run, more), schema)
 
 
-def _meet(batches: Iterable[pa.RecordBatch], keys: list[str], run: Callable) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterable[pa.RecordBatch], run: Callable, more: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     now, held, index = None, [], None
     for batch in batches:
-        marks = np.stack([batch.column(c).to_numpy() for c in (*keys, "kind")])
-        cuts = np.flatnonzero(np.r_[True, (marks[:, 1:] != marks[:, :-1]).any(0)]).tolist()
+        marks = np.stack([batch.column(c).to_numpy() for c in ("cell", "kind")])
+        cuts = np.flatnonzero(np.r_[True, (marks[:, 1:] != marks[:, :-1]).any(0)][: batch.num_rows]).tolist()
         for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
-            key, part = marks[:-1, a].tolist(), pa.Table.from_batches([batch.slice(a, b - a)])
-            if key != now:
-                now, held, index = key, [], None
-            if not marks[-1, a]:
+            cell, kind = marks[:, a].tolist()
+            part = pa.Table.from_batches([batch.slice(a, b - a)])
+            if cell != now:
+                now, held, index = cell, [], None
+            if not kind:
                 held.append(part)
                 continue
             if index is None and held:
-                index, held = run(*arrays(pa.concat_tables(held))), []
+                index, held = run(cell, *arrays(pa.concat_tables(held), more)), []
             if index is not None:  # without candidates there is nothing to find
-                yield index.ask(*arrays(part))
+                yield index.ask(*arrays(part, more))
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

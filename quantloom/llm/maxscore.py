@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .blocks import LAST, best, meetings, numbered
 
-SHARD = 8192  # vectors of a shard
+SHARD, LEAST = 65_536, 4096  # most and least vectors of a shard, but for what a hash deals unevenly
 FOUND = "q_uid long, query_id long, uid long, vec_id long, score long"
 
 
@@ -104,11 +104,13 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str
     query row is a query. Scores beyond a long are cut to its range. An empty table gives no rows.
     """
     rows = numbered(vectors, id_col, vec_col).withColumn("vec", F.transform("vec", lambda x: F.floor(x.cast("double") * scale).cast("double")))
-    shards = max(1, -(-rows.count() // SHARD))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int"))
+    n = rows.count()
+    # One shard for each task at first; more where they would grow too large.
+    shards = max(1, -(-n // SHARD), min(-(-n // LEAST), vectors.sparkSession.sparkContext.defaultParallelism))
+    dealt = rows.withColumn("cell", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int"))
     # A stated query set against all rows: each query goes to every shard once.
-    asked = rows.where(F.col("id") % every == 0).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = meetings(dealt, asked, ["shard"], lambda ids, uids, vecs: Shard(ids, uids, vecs, k), FOUND)
+    asked = rows.where(F.col("id") % every == 0).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    found = meetings(dealt, asked, shards, lambda _, ids, uids, vecs: Shard(ids, uids, vecs, k), FOUND)
     nth = Window.partitionBy("q_uid").orderBy(F.desc("score"), "vec_id", "uid")
     ranked = found.withColumn("rank", F.row_number().over(nth)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.when(F.col("vec_id") != LAST, F.col("vec_id")).alias("vec_id"), "score")
