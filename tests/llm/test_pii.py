@@ -93,3 +93,30 @@ def test_national_phones_and_spelled_out_addresses_are_found_at_every_frequency(
         assert {k: got[k] for k in planted} == planted
         clean = [got[i] for i in range(200)]
         assert all(s.count(",") == 3 for s in clean), clean[:2]
+
+
+def test_many_spans_in_one_text_are_found_and_replaced(spark):
+    text = " ".join(f"user{i}@mail.example.com é 10.0.{i % 250}.{i % 199}" for i in range(25_000))
+    docs = spark.createDataFrame([(1, text), (2, "é x@y.zz 😀" * 300)], "doc_id long, text string")
+    r = pii.detect(docs).where("id = 1").first()
+    assert r["base"] == brute(text)[1] and r["n_email"] == r["n_ip"] == 25_000
+    new = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert new[1] == " ".join(["<EMAIL> é <IP>"] * 25_000)
+    assert new[2] == re.sub(RULES["email"], "<EMAIL>", "é x@y.zz 😀" * 300)
+
+
+def test_added_spans_are_right(spark):
+    """Precision and recall of what the trees add to the base rules, on sentences that are not among the labelled ones."""
+    good = [("phone", "reach us at {}", f"({200 + i}) 555-{1000 + 7 * i}") for i in range(40)] + [("phone", "phone {} now", f"{210 + i}-555-{2000 + 3 * i}") for i in range(40)]
+    good += [("email", "please write to {} soon", f"user.{chr(97 + i % 26)}{i} (at) host{i} (dot) org") for i in range(40)] + [("email", "{} is mine", f"name{i}[at]site{i}[dot]com") for i in range(40)]
+    good += [("ip", "seen from {} twice", f"10[.]{i}[.]7[.]{i + 3}") for i in range(40)] + [("card", "my card {} expired", "4000.0566.5566.5556")] * 10
+    bad = [f"released on 2023.{1 + i % 12}.{1 + i % 28} 1{i % 10}.30" for i in range(40)] + [f"Version {i},{i + 1},0,{i % 4} is out" for i in range(40)] + [f"we met (at) noon{i}.then left" for i in range(40)]
+    bad += [f"part 70{i:02}5550{i:03} and lot {i:03}-200-{3000 + i}" for i in range(40)] + [f"{i}.123.456.78{i % 10} coins, {i} 000 000 000 people" for i in range(40)] + [f"see 10.10{i:02}/j.{i}.2020.07 or ISBN 978-3-16-1484{i:02}-0" for i in range(40)]
+    docs = [(i, lead.format(v)) for i, (_, lead, v) in enumerate(good)] + [(1000 + i, t) for i, t in enumerate(bad)]
+    want = {(i, f"{k}:{lead.index('{')}:{lead.index('{') + len(v)}") for i, (k, lead, v) in enumerate(good)}
+    added = set()
+    for r in pii.detect(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        added |= {(r["id"], x) for x in set(r["spans"].split(",")) - set(r["base"].split(","))}
+    right = len(added & want)
+    print(f"added {len(added)}, precision {right / len(added):.3f}, recall {right / len(want):.3f}", sorted(added - want)[:5], sorted(want - added)[:5])
+    assert right >= 0.97 * len(added) and right >= 0.95 * len(want)

@@ -2,9 +2,11 @@ import datetime
 import math
 
 import numpy as np
+import plain
 import pytest
+from pyspark.sql import functions as F
 
-from quantloom.llm import hilbert, html_extract, maxscore, mixing, packing, pii, queries, simhash, url_filter
+from quantloom.llm import hilbert, html_extract, langid, maxscore, mixing, packing, pii, queries, simhash, url_filter
 from quantloom.llm.common import drop_saved, saved, with_rank
 
 VECS = "vec_id long, embedding array<float>, label int, uid long, shard int"
@@ -94,6 +96,27 @@ def test_recall_of_windows(spark):
     assert len(found) == 150 and hits / (20 * len(found)) >= 0.9
 
 
+def test_clustered_vectors_of_unequal_norms_need_few_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(5, 32))
+    x = (rng.normal(size=(6000, 5)) @ base + 0.05 * rng.normal(size=(6000, 32))) * rng.uniform(0.9, 1.1, (6000, 1))
+    x[:3] *= 20  # a few long ones
+    plans, choose = [], hilbert.layout_for
+    monkeypatch.setattr(hilbert, "layout_for", lambda *a: plans.append(choose(*a)) or plans[-1])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for y, most in ((x, 0.6), (unit, 0.3)):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<double>")
+        found = {}
+        for r in hilbert.neighbours(df).collect():
+            found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        hits = 0
+        for q in range(0, 6000, 20):
+            s = y @ y[q]
+            s[q] = -np.inf
+            hits += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+        assert hits / 6000 >= 0.9 and plans[-1].scored < most, (hits / 6000, plans[-1].scored)
+
+
 def test_hilbert_keys_are_a_path():
     side = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     key = hilbert.hilbert_key(side, 3)
@@ -136,6 +159,21 @@ def test_entries_hold_from_date_to_date(spark):
     assert url_filter.evaluate(c.limit(0), e).count() == 0 and url_filter.evaluate(c, e.limit(0)).where("action = 'none'").count() == len(caps)
 
 
+def test_hot_hosts_and_daily_lists(spark, monkeypatch):
+    from quantloom.llm import common
+
+    monkeypatch.setattr(common, "HOT", 20)
+    first = datetime.date(2024, 1, 1)
+    at = lambda i: first + datetime.timedelta(days=i % 60)
+    captures = [(i, "http://hot.example.com/a" if i % 3 else f"http://h{i}.org/", at(i)) for i in range(400)]
+    entries = [("hot.example.com", "domain", "block" if k < 30 else "allow", at(k)) for k in range(60)] + [("h30.org", "domain", "block", first)]
+    c = spark.createDataFrame(captures, "page_id long, url string, fetched date")
+    e = spark.createDataFrame(entries, "pattern string, kind string, action string, since date")
+    assert sorted((r["action"], r["until"]) for r in url_filter.intervals(e).where("pattern = 'hot.example.com'").collect()) == [("allow", None), ("block", at(30))] or url_filter.intervals(e).count() == 3
+    got = {r["id"]: r["action"] for r in url_filter.evaluate(c, e).collect()}
+    assert got == {i: ("block" if i % 60 < 30 else "allow") if i % 3 else "block" if i == 30 else "none" for i, _, _ in captures}
+
+
 # Helpers and pipeline.
 
 
@@ -152,7 +190,7 @@ def test_long_hosts_and_deep_paths_meet_their_entries(spark):
 
 def test_rank_is_gapless_in_hot_groups(spark):
     df = saved(spark.createDataFrame([(None if i % 3 else i % 2, i % 4, i) for i in range(500)], "g int, o int, i long"))
-    rows = with_rank(df, ["g"], 16, order=["o"]).collect()
+    rows = with_rank(df, ["g"], 16, tie="i", order=["o"]).collect()
     for g in (None, 0, 1):
         part = sorted(((r["rank"], r["o"]) for r in rows if r["g"] == g))
         assert [k for k, _ in part] == list(range(len(part))) and [o for _, o in part] == sorted(o for _, o in part)
@@ -194,6 +232,66 @@ def test_pipeline_stages_match_their_operators(spark):
         assert f(spark, empty, "").count() == 0
 
 
+def test_stages_keep_columns_whose_names_clash(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    names = ["lang_pred", "LANG_SCORE", "row_number", "__row", "__pii_email", "found", "k0", "email", "new", "size", "copies", "tie", "component"]
+    docs = corpus(spark).where("doc_id < 60")
+    docs = saved(docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names]))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got = out.select("doc_id", *names).collect()
+        assert got and all(r[n] == f"{n} {r['doc_id']}" for r in got for n in names)
+
+
+def test_pipeline_matches_a_plain_one(spark, tmp_path):
+    """The whole run against plain versions of the five stages."""
+    import re
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = corpus(spark)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    model = langid.fit(docs.where(~langid.held_out("doc_id")))
+    kept = []
+    for r in docs.collect():
+        lang, cosine = plain.nearest(r["text"], model.idf, model.langs, model.centroids, langid.BITS)
+        letters = sum(ch.isalpha() for ch in r["text"] or "")
+        if lang != "und" and cosine >= model.floors[int(langid.length_class(np.array([letters]))[0])]:
+            kept.append((r["doc_id"], r["text"], lang, r["source"], r["n_chars"]))
+    fps = [plain.fingerprint(t) for _, t, *_ in kept]
+    label, first = plain.components(list(set(fps))), {}
+    for row, fp in zip(kept, fps):
+        key = (row[0] is None, row[0])
+        if label[fp] not in first or key < first[label[fp]][0]:
+            first[label[fp]] = (key, row)
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")  # the one kind of personal data in this corpus
+    clean = []
+    for _, (i, text, lang, source, n) in first.values():
+        new = email.sub("<EMAIL>", text)
+        clean.append((i, new, lang, source, len(new) if new != text else n))
+    table = spark.createDataFrame(clean, docs.schema)
+    cells, tie = 16, F.xxhash64(*table.columns)
+    place = F.struct(F.floor(F.log2(mixing.words("text") + 1) * 64), F.pmod(F.xxhash64(tie), F.lit(cells)), tie)
+    copies = plain.sampled([(r["doc_id"], r["source"], plain.words(r["text"]), tuple(r["place"])) for r in table.withColumn("place", place).collect()])
+    tok, want = Tokenizer.from_file(queries.tokenizer_path()), []
+    for i, text, *_ in clean:
+        ids = [*tok.encode(text, add_special_tokens=False).ids, 0]
+        for s in range(0, len(ids), 2048):
+            part = ids[s : s + 2048]
+            want += [(i, s // 2048, s, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))] * copies[i]
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want) and len(want) > 30
+    fill = {}
+    for r in got:
+        fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in x) <= 2048 and sorted(x)[0][0] == 0 for x in fill.values())
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)

@@ -2,11 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import plain
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
-from quantloom.llm import html_extract, langid, mixing, packing, queries, sharding, simhash
+from quantloom.llm import common, html_extract, langid, mixing, packing, queries, sharding, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, fp string, __at long"
 WORDS = "alpha beta gamma delta one two three four house tree river stone".split()
@@ -86,29 +86,44 @@ def test_pack_matches_the_tokenizer(spark, docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
-# SimHash.
-
+def test_ids_of_letters_that_change_when_normalised():
+    from tokenizers import Tokenizer
 
-def brute_fingerprint(text):
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    sh = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
-    h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    path = queries.tokenizer_path()
+    tok, ids = Tokenizer.from_file(path), packing._ids_of(path)
+    rng = random.Random(11)
+    some = "İıßŞşÇç\u0958\u0345\u0307éÅΣς\u1e9eaIiZ09" + "".join(chr(rng.randrange(0xA1, 0x3000)) for _ in range(60))
+    texts = ["İ.", "Aİ,", "İZMİR'İ.", "\u0958!", "ﬁ.", "a\u0301."]
+    texts += ["".join(rng.choice(some) for _ in range(rng.randint(1, 6))) + "".join(rng.choice(".,;'!?-=<") for _ in range(rng.randint(0, 3))) + rng.choice(["", " x", "\u0338"]) for _ in range(4000)]
+    for t in texts:
+        assert np.frombuffer(packing.token_bytes(t.encode(), ids), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_places_hold_when_executors_change(spark):
+    """Two scans of one table that are split in other ways still agree."""
+    texts = spark.range(3000).selectExpr("id AS doc_id", "concat('word ', id % 7, repeat(' x', CAST(id % 50 AS INT))) AS text", "'s' AS source").repartition(3)
+    conf, path = spark.conf, queries.tokenizer_path()
+    packed, cut = packing.pack(texts, path), sharding.shard_by_bytes(texts)
+    seen = []
+    try:
+        for parts in (1, 16):
+            conf.set("spark.sql.files.openCostInBytes", "64")
+            conf.set("spark.sql.files.maxPartitionBytes", "2000" if parts > 1 else "128MB")
+            conf.set("spark.sql.files.minPartitionNum", parts)
+            for df in (packed, cut):
+                fresh = df.select("*")  # planned anew, over the same written tables
+                seen.append(sorted(tuple(r) for r in fresh.select(*[c for c in fresh.columns if c != "grown_shard"]).collect()))
+    finally:
+        for c in ("openCostInBytes", "maxPartitionBytes", "minPartitionNum"):
+            conf.unset(f"spark.sql.files.{c}")
+    assert seen[0] == seen[2] and seen[1] == seen[3] and len(seen[0]) == 3000
+    slots = {}
+    for r in seen[1]:
+        slots.setdefault(r[4], []).append(r[5])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
-def brute_components(fps):
-    label = {f: f for f in fps}
-    changed = True
-    while changed:
-        changed = False
-        for a in fps:
-            for b in fps:
-                if (a ^ b).bit_count() <= 4 and label[a] != label[b]:
-                    label[a] = label[b] = min(label[a], label[b])
-                    changed = True
-    return label
+# SimHash.
 
 
 def test_near_duplicates_match_brute_force(spark, empty):
@@ -123,8 +138,8 @@ def test_near_duplicates_match_brute_force(spark, empty):
     docs = spark.createDataFrame(data, DOCS)
     fps = {}
     for i, text, *_ in data:
-        fps.setdefault(brute_fingerprint(text), []).append(i)
-    label = brute_components(list(fps))
+        fps.setdefault(plain.fingerprint(text), []).append(i)
+    label = plain.components(list(fps))
     least = {}
     for f, ids in fps.items():
         known = [i for i in ids if i is not None]
@@ -144,7 +159,7 @@ def test_large_groups_are_dealt_into_cells(spark, monkeypatch):
     signed = [(c - (1 << 64) if c >> 63 else c,) for c in codes]
     df = spark.createDataFrame(signed, "fp long")
     roots = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in simhash.components(simhash.links(df, len(codes))).collect()}
-    label = brute_components(list(codes))
+    label = plain.components(list(codes))
     groups = lambda f: {frozenset(x for x in codes if f(x) == k) for k in {f(x) for x in codes}}
     assert groups(lambda c: roots.get(c, c)) == groups(label.get)
 
@@ -164,6 +179,19 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(1, 201)} | {500: 400}
 
 
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 10)
+    monkeypatch.setattr(common, "MOST_HOT", 5)
+    edges = spark.createDataFrame([(i, 0) for i in range(1, 120)] + [(i, i + 1) for i in range(200, 230)], "a long, b long")
+    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert got == {i: 0 for i in range(1, 120)} | {i: 200 for i in range(201, 231)}
+    docs = spark.createDataFrame([(i, "same text in many rows" if i % 3 else f"text {i} of {i * i} its {i * 7} own {i * 31}") for i in range(300)] + [(900, None)], "doc_id long, text string")
+    got = {r["id"]: (r["fp"] % (1 << 64), r["component"]) for r in simhash.near_duplicates(docs).collect()}
+    assert len(got) == 301 and all(got[i][1] == 1 for i in range(300) if i % 3)
+    label = plain.components(list({f for f, _ in got.values()}))
+    assert len({c for _, c in got.values()}) == len(set(label.values()))
+
+
 # Language.
 
 
@@ -200,9 +228,27 @@ def test_long_foreign_texts_are_rejected_and_short_clean_ones_are_not(spark):
 
 def test_no_language_is_left_out_in_silence(spark):
     docs = spark.createDataFrame([(i, "alpha beta", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
-    with pytest.raises(ValueError, match="4 languages"):
+    with pytest.raises(ValueError, match="more than 3 languages"):
         langid.fit(docs, most_langs=3)
     assert set(langid.fit(docs, most_langs=4).langs) == {"l0", "l1", "l2", "l3"}
+    many = spark.createDataFrame([(i, " ".join(chr(0x4E00 + 40 * (i % 230) + (i + k) % 40) * 2 for k in range(20)), f"l{i % 230}") for i in range(460)], "doc_id long, text string, lang string")
+    model = langid.fit(many)
+    assert set(model.langs) == {f"l{i}" for i in range(230)}
+    assert model.predict([many.where("doc_id = 229").first()["text"]])[0] == ["l229"]
+
+
+def test_predictions_match_a_plain_nearest_centroid(spark):
+    model = langid.fit(spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, (_, t, *_) in enumerate(rows()) if t], "doc_id long, text string, lang string"))
+    texts = [t for _, t, *_ in rows()] + ["Zwölf Boxkämpfer jagen Viktor", "a", "ab", "東京 都", "x1y2 z", "ß" * 40]
+    langs, scores, _ = model.predict(texts)
+    for text, lang, score in zip(texts, langs, scores):
+        name, cosine = plain.nearest(text, model.idf, model.langs, model.centroids, langid.BITS)
+        assert abs(score - cosine) < 1e-4 and (lang == name or text and cosine < 1e-6)
+
+
+def test_a_sample_is_bounded_by_repeated_rows_too(spark):
+    docs = spark.createDataFrame([(7, f"alpha beta {'x' * (i % 5)}", "en") for i in range(300)], "doc_id long, text string, lang string")
+    assert set(langid.fit(docs, sample_per_lang=20).langs) <= {"en"}
 
 
 def test_grams_do_not_cross_documents():
@@ -288,6 +334,18 @@ def test_mix_meets_targets_and_repeats(spark, docs, empty):
     assert run(docs).count() == docs.count() and run(empty).count() == 0
 
 
+def test_mix_matches_a_plain_sampler(spark, docs):
+    from pyspark.sql import functions as F
+
+    listed = docs.dropDuplicates()
+    cells, tie = common.cells_for(listed.count(), 20_000, 16), F.xxhash64(*listed.columns)
+    place = F.struct(F.floor(F.log2(F.coalesce(mixing.words("text"), F.lit(0)) + 1) * 64), F.pmod(F.xxhash64(tie), F.lit(cells)), tie)
+    rows_ = [((r["doc_id"], r["text"]), r["source"], plain.words(r["text"]), tuple(r["place"])) for r in listed.withColumn("place", place).collect()]
+    want = plain.sampled(rows_)
+    got = {(r["doc_id"], r["text"]): r["copies"] for r in mixing.mix(listed, mixing.words("text"), keep=["doc_id", "text"]).collect()}
+    assert got == want and sum(got.values()) > 0
+
+
 # Pages.
 
 
@@ -307,6 +365,24 @@ def test_extraction(page, text):
     assert html_extract.extract(page) == text
 
 
+def test_the_cut_decides_where_a_block_alone_would_not():
+    body = "<p>This paragraph has enough words of its own to be the text of a page, as anyone can see.</p>"
+    caption = f"<div>{body}<p>A caption</p>{body}</div>"
+    found = html_extract.blocks(caption)
+    assert [html_extract.score(b) > 0 for b in found] == [True, False, True] and html_extract.labels(found) == [True] * 3
+    links = "".join(f"<li><a href=/{i}>Link number {i}</a></li>" for i in range(4))
+    menu = f"<ul>{links}<li>More words are here.</li>{links}</ul>{body}"
+    found = html_extract.blocks(menu)
+    assert html_extract.score(found[4]) > 0 and html_extract.labels(found) == [False] * 9 + [True]
+
+
+def test_unclosed_players_do_not_hide_the_rest():
+    text = "The text of the page comes after an element that is never closed."
+    for tag in ("<video src=x>", "<canvas id=c />", "<object data=x>", "<audio>", "<svg>"):
+        assert html_extract.extract(f"<body>{tag}<article><p>{text}</p></article>") == text
+    assert html_extract.extract(f"<body><script>var x = 1;<article><p>{text}</p></article>") == ""
+
+
 def test_min_cut_matches_brute_force():
     rng = random.Random(6)
     for _ in range(150):
