@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import langid, mixing, packing, pii, simhash
-from quantloom.llm.common import saved
+from quantloom.llm.common import saved, saved_rows, unused
 from quantloom.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,32 +21,48 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known keep their rows, with the predicted language in ``lang``.
 
-    The model learns from the labelled rows outside the held-out fold, as in op4. Rejected documents go: those without a
-    letter and those too far from every centroid.
+    The model learns from the labelled rows outside the held-out fold, as in op4. Rejected documents go: null, empty and letterless
+    texts and those too far from every centroid. Repeated rows and null ids are kept; an empty table stays empty. The operator's
+    columns take names that ``docs`` has not.
     """
     model = langid.fit(docs.where(~langid.held_out("doc_id")))
-    found = langid.identify(docs, model).where("NOT lang_rejected")
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    prefix = "lang_"
+    while any(unused(docs, prefix + c) != prefix + c for c in langid.NEW):
+        prefix += "_"
+    found = langid.identify(docs, model, prefix=prefix).where(~F.col(f"{prefix}rejected"))
+    return found.withColumn("lang", F.col(f"{prefix}pred")).select(*docs.columns)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the first row of the least doc_id."""
-    # The number of a row in the written input stands for its id, so that repeated and null ids are told apart.
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    """One document of each near-duplicate group stays: the first row of the least doc_id, a null id last.
+
+    Null, empty and blank texts are copies of each other. Of repeated rows one stays. All columns are kept as they are; an empty table
+    stays empty.
+    """
+    # A written number stands for the id, so that repeated and null ids are told apart and both scans agree.
+    number = unused(docs, "row_number")
+    rows = saved_rows(docs, number)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(number).alias("row"))
     found = simhash.near_duplicates(rows.select(order.alias("doc_id"), "text"))
-    kept = found.where(F.col("id") == F.col("component")).select(F.col("id.__row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    kept = found.where(F.col("id") == F.col("component")).select(F.col("id.row").alias(number))
+    return rows.join(kept, number, "left_semi").select(*docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in ``text`` is replaced by its kind; n_chars follows the new text."""
-    out = pii.redact(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+    """Personal data in ``text`` is replaced by its kind, and ``n_chars``, where there is one, is the length of a text that changed.
+
+    Null texts and texts without personal data stay as they are, repeated rows and null ids too; all rows and columns
+    are kept; an empty table stays empty.
+    """
+    return pii.redact(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are repeated, kept or left out so that the words of each source meet their target."""
+    """Rows are repeated, kept or left out so that the words of each source meet their target.
+
+    A null source is one source, a null or empty text has no words and may be taken or left; repeated rows are sampled one by one.
+    All columns are kept as they are; an empty table stays empty.
+    """
     size = mixing.words("text")
     out = mixing.mix(docs, size, keep=docs.columns)
     # The operator's own columns may clash with those of the documents, so the kept ones are taken by place.
@@ -58,7 +74,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every copy of every document in sequences of at most 2048 tokens."""
+    """Every copy of every document in sequences of at most 2048 tokens.
+
+    A null or empty text is the closing token alone; repeated rows and null ids are packed like others; an empty table gives no rows. Columns
+    other than doc_id and text are not read.
+    """
     return packing.pack(docs, tokenizer_path(), capacity=2048, last_id=0)
 
 
