@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -44,6 +45,13 @@ def saved_rows(df: DataFrame, number: str) -> DataFrame:
     return saved(df.withColumn(number, F.monotonically_increasing_id()))
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a table that the JVM makes by itself; ``createDataFrame`` would start Python workers for them."""
+    names = [c.split()[0] for c in schema.split(",")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema}>>")))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -318,7 +318,7 @@ def seeded(spark: SparkSession) -> list[tuple[int, int, int]]:
                 good.add((i, KINDS.index(m[1]), len(text), len(text) + len(m[2])))
                 text, end = text + m[2], m.end()
             lines.append((i, text + line[end:]))
-        found = scan(spark.createDataFrame(lines, "i int, text string").coalesce(1), ["i"]).select("k0", F.explode("found").alias("x")).select("k0", "x.*").collect()
+        found = scan(small_table(spark, lines, "i int, text string"), ["i"]).select("k0", F.explode("found").alias("x")).select("k0", "x.*").collect()
         _SEEDED.append([(r["k"], r["mask"], int((r["k0"], r["k"], r["s"], r["e"]) in good)) for r in found])
     return _SEEDED[0]
 

@@ -12,7 +12,7 @@ import bisect
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cells_for, saved, saved_rows, with_rank
+from .common import cells_for, saved, saved_rows, small_table, with_rank
 
 FIRST, NEXT = 16, 10  # bits of the order key that the first and each further level tell apart
 
@@ -87,7 +87,7 @@ def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
             break
         wanted = [((prefix.parts[k][0] >> (64 - bits)),) for k in sorted(todo)]
         # A few ranges for each cut.
-        table = groups.sparkSession.createDataFrame(wanted, "p long")
+        table = small_table(groups.sparkSession, wanted, "p long")
         inside = groups.join(F.broadcast(table), _first_bits(bits) == F.col("p"), "left_semi")
         bits = min(64, bits + NEXT)
         prefix = Prefix([p for k, p in enumerate(prefix.parts) if k not in todo] + _sums(inside, bits))

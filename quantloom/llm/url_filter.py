@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_from, saved, saved_rows
+from .common import hot_from, saved, saved_rows, small_table
 
 PREFIX = 1 << 30  # any prefix is more specific than any domain
 KEYS = 1 << 16  # hash ranges by which probes are counted
@@ -78,7 +78,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     # At most KEYS counts reach the driver, and fewer than MOST_HOT of them can be hot.
     load = {r["key"]: r["n"] for r in probe.groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
     most = hot_from(sum(load.values()))
-    parts = F.broadcast(c.sparkSession.createDataFrame([(k, -(-n // most)) for k, n in load.items() if n > most], "key int, parts int"))
+    parts = F.broadcast(small_table(c.sparkSession, [(k, -(-n // most)) for k, n in load.items() if n > most], "key int, parts int"))
     one = F.coalesce("parts", F.lit(1))
     probe = probe.join(parts, "key", "left").withColumn("part", F.pmod(F.xxhash64("at"), one).cast("int")).drop("parts")
     held = held.join(parts, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
