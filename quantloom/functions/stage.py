@@ -3,10 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
+def folder(df: DataFrame) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``; on one machine without it a temporary one."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quantloom-")
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` through a reliable checkpoint in ``spark.checkpoint.dir``; a folder of its own only where none is set."""
     spark = df.sparkSession

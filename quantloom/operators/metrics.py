@@ -93,18 +93,19 @@ def performance(equity: DataFrame, turnover: DataFrame, benchmark: DataFrame) ->
         span("net").alias("growth"), span("gross").alias("gross_growth"), span("bench").alias("bench_growth"), F.date_diff(F.max("ts"), F.min("ts")).alias("days"), F.avg(r).alias("mean"),
         F.stddev_samp(r).alias("std"), F.stddev_samp(F.when(r < 0, r)).alias("down"), F.min("dd").alias("max_drawdown"), F.avg(F.when(r.isNotNull(), (r > 0).cast("double"))).alias("win_rate"),
         F.covar_samp(F.when(both, r), F.when(both, b)).alias("cov"), F.var_pop(F.when(both, b)).alias("var"), F.avg(F.when(both, b)).alias("mean_b"), F.avg(F.when(both, r)).alias("mean_r"),
-        F.stddev_samp(F.when(both, r - b)).alias("te"),
+        F.stddev_samp(F.when(both, r - b)).alias("te"), F.count_if(both).alias("n_both"),
     )
     t = turnover.withColumn("gap", F.date_diff("ts", F.lag("ts").over(w))).agg(F.avg("turnover").alias("mean_turnover"), F.avg("gap").alias("gap"), F.sum("cost").alias("total_cost"))
     year = lambda x: F.pow(F.col(x), 365.25 / F.col("days")) - 1
     vol = F.col("std") * 252**0.5
     g = g.join(F.broadcast(t)).withColumn("cagr", year("growth")).withColumn("gross_cagr", year("gross_growth")).withColumn("bench_cagr", year("bench_growth")).withColumn("volatility", vol)
-    safe = lambda x: F.when(x == 0, 1e-6).otherwise(x)
-    beta = F.col("cov") / F.nullif(F.col("var"), F.lit(0.0))
-    yearly = F.col("mean_turnover") * 252 / F.col("gap")
+    safe = lambda x: F.when(x > 0, x).otherwise(1e-6)
+    beta = F.when((F.col("n_both") > 2) & (F.col("var") > 0), F.col("cov") / F.col("var"))
+    error = F.col("te") * 252**0.5
+    yearly = F.col("mean_turnover") * 252 / F.when(F.col("gap") != 0, F.col("gap")).otherwise(1)
     return g.select(
-        "cagr", "gross_cagr", "bench_cagr", "volatility", (F.col("mean") * 252 / safe(F.col("volatility"))).alias("sharpe"), (F.col("mean") * 252 / safe(F.col("down") * 252**0.5)).alias("sortino"),
-        "max_drawdown", F.when(F.col("max_drawdown") != 0, F.col("cagr") / F.abs("max_drawdown")).alias("calmar"), yearly.alias("annual_turnover"), (252 / yearly).alias("holding_days"), "win_rate",
-        beta.alias("beta"), ((F.col("mean_r") - beta * F.col("mean_b")) * 252).alias("alpha"), (F.col("te") * 252**0.5).alias("tracking_error"),
-        ((F.col("cagr") - F.col("bench_cagr")) / (F.col("te") * 252**0.5)).alias("information_ratio"), "total_cost", "mean_turnover",
+        "cagr", "gross_cagr", "bench_cagr", (F.col("gross_cagr") - F.col("cagr")).alias("cost_drag"), F.col("cagr").alias("annual_return"), "volatility", (F.col("mean") * 252 / safe(F.col("volatility"))).alias("sharpe"), (F.col("mean") * 252 / safe(F.col("down") * 252**0.5)).alias("sortino"),
+        "max_drawdown", F.when(F.col("max_drawdown") < 0, F.col("cagr") / F.abs("max_drawdown")).alias("calmar"), yearly.alias("annual_turnover"), F.when(yearly > 0, 252 / yearly).alias("holding_days"), "win_rate",
+        beta.alias("beta"), ((F.col("mean_r") - beta * F.col("mean_b")) * 252).alias("alpha"), error.alias("tracking_error"),
+        F.when((F.col("n_both") > 2) & (error > 0), (F.col("cagr") - F.col("bench_cagr")) / error).alias("information_ratio"), F.coalesce("total_cost", F.lit(0.0)).alias("total_cost"), "mean_turnover",
     )

@@ -55,7 +55,19 @@ def numbered(df):
 
 
 query("x06_cusum_events", f"{K} price:d ret:d vol:d threshold:d direction", "SELECT * FROM ev", "ev")(events)
-query("x07_event_validation", "rule n:l", "SELECT 'threshold' AS rule, count(*) FILTER (threshold <= 0) AS n FROM ev UNION ALL SELECT 'volatility', count(*) FILTER (vol IS NULL) FROM ev UNION ALL SELECT 'duplicate_key', count(*) FROM (SELECT 1 FROM ev GROUP BY ticker, ts HAVING count(*) > 1)", "ev")(
+
+
+def _broken_events(s, d):
+    day = F.dayofmonth("ts")
+    e = events(s, d).withColumn("threshold", F.when(day % 5 == 0, 0.0).otherwise(F.col("threshold"))).withColumn("vol", F.when(day % 5 != 1, F.col("vol")))
+    return e.unionByName(e.where(day == 15))
+
+
+BROKEN_EVENTS = "(SELECT * FROM be UNION ALL SELECT * FROM be WHERE day(ts) = 15)"
+query("x07_event_validation", "rule n:l", f"WITH be AS (SELECT ticker, ts, CASE WHEN day(ts) % 5 = 0 THEN 0 ELSE threshold END AS threshold, CASE WHEN day(ts) % 5 <> 1 THEN vol END AS vol FROM ev) SELECT 'threshold' AS rule, count(*) FILTER (threshold <= 0) AS n FROM {BROKEN_EVENTS} UNION ALL SELECT 'volatility', count(*) FILTER (vol IS NULL) FROM {BROKEN_EVENTS} UNION ALL SELECT 'duplicate_key', count(*) FROM (SELECT 1 FROM {BROKEN_EVENTS} GROUP BY ticker, ts HAVING count(*) > 1)", "ev")(
+    lambda s, d: L.event_violations(_broken_events(s, d))
+)
+query("x07_sound_events", "rule n:l", "SELECT 'threshold' AS rule, count(*) FILTER (threshold <= 0) AS n FROM ev UNION ALL SELECT 'volatility', count(*) FILTER (vol IS NULL) FROM ev UNION ALL SELECT 'duplicate_key', count(*) FROM (SELECT 1 FROM ev GROUP BY ticker, ts HAVING count(*) > 1)", "ev")(
     lambda s, d: L.event_violations(events(s, d))
 )
 EVENT_STATS = """SELECT e.ticker, n, n_pos, n_neg, mean_gap, median_gap, min_gap, max_gap, mean_threshold, CASE WHEN days > 0 THEN n / days * 252 ELSE 0 END AS per_year, 100.0 * n_pos / n AS pct_pos FROM (
@@ -65,10 +77,31 @@ query("a07_event_statistics", "ticker n:l n_pos:l n_neg:l mean_gap:d median_gap:
     lambda s, d: A.event_statistics(events(s, d), P.bars_w(s, d))
 )
 query("x08_triple_barrier", f"{K} {LABEL}", "SELECT * FROM lab", "lab")(labels)
-query("x08_triple_barrier_optimistic", f"{K} exit_ts:t hit label:l")(lambda s, d: labels(s, d, "optimistic"))
-query("x08_triple_barrier_ignore", f"{K} exit_ts:t hit label:l")(lambda s, d: labels(s, d, "ignore"))
+query("x08_triple_barrier_optimistic", f"{K} exit_ts:t exit_price:d hit label:l", "SELECT * FROM lab", "optimistic")(lambda s, d: labels(s, d, "optimistic"))
+query("x08_triple_barrier_ignore", f"{K} exit_ts:t exit_price:d hit label:l", "SELECT * FROM lab", "ignore")(lambda s, d: labels(s, d, "ignore"))
 query("x09_label_columns", f"{K} hit label:l", "SELECT * FROM lab", "lab")(labels)
-query("x10_label_validation", "rule n:l", "SELECT unnest(['exit_before_entry', 'exit_after_vertical', 'bad_label', 'bad_hit', 'barrier_order', 'price', 'holding', 'duplicate_key']) AS rule, unnest([0, 0, 0, 0, 0, 0, 0, 0]) AS n")(
+
+
+def _broken_labels(s, d):
+    """Labels of which each day of the month breaks one rule."""
+    k = F.dayofmonth("ts") % 8
+    put = lambda n, c, x: F.when(k == n, x).otherwise(F.col(c))
+    lab = labels(s, d)
+    lab = lab.withColumns({
+        "exit_ts": F.when(k == 1, F.date_sub("ts", 1)).when(k == 2, F.date_add("vertical_ts", 1)).otherwise(F.col("exit_ts")), "label": put(3, "label", F.lit(5)), "hit": put(4, "hit", F.lit("XX")),
+        "sl": put(5, "sl", F.col("pt")), "price": put(6, "price", F.lit(0.0)), "holding": put(7, "holding", F.lit(-1)),
+    })
+    return lab.unionByName(lab.where(F.dayofmonth("ts") == 15))
+
+
+BROKEN_LABELS = """WITH bl AS (SELECT ticker, ts, vertical_ts, pt, CASE day(ts) % 8 WHEN 1 THEN ts - 1 WHEN 2 THEN vertical_ts + 1 ELSE exit_ts END AS exit_ts, CASE WHEN day(ts) % 8 = 3 THEN 5 ELSE label END AS label, CASE WHEN day(ts) % 8 = 4 THEN 'XX' ELSE hit END AS hit,
+ CASE WHEN day(ts) % 8 = 5 THEN pt ELSE sl END AS sl, CASE WHEN day(ts) % 8 = 6 THEN 0 ELSE price END AS price, CASE WHEN day(ts) % 8 = 7 THEN -1 ELSE holding END AS holding FROM lab), al AS (SELECT * FROM bl UNION ALL SELECT * FROM bl WHERE day(ts) = 15)"""
+RULES = {"exit_before_entry": "exit_ts < ts", "exit_after_vertical": "exit_ts > vertical_ts", "bad_label": "label NOT IN (-1, 0, 1)", "bad_hit": "hit NOT IN ('PT', 'SL', 'VERTICAL')", "barrier_order": "pt <= sl", "price": "price <= 0", "holding": "holding < 0"}
+DUPLICATES = "SELECT 'duplicate_key' AS rule, count(*) AS n FROM (SELECT 1 FROM {0} GROUP BY ticker, ts HAVING count(*) > 1)"
+query("x10_label_validation", "rule n:l", BROKEN_LABELS + " UNION ALL ".join([*[f" SELECT '{k}' AS rule, count(*) AS n FROM al WHERE {c}" for k, c in RULES.items()], DUPLICATES.format("al")]), "lab")(
+    lambda s, d: L.label_violations(_broken_labels(s, d))
+)
+query("x10_sound_labels", "rule n:l", " UNION ALL ".join([*[f"SELECT '{k}' AS rule, count(*) AS n FROM lab WHERE {c}" for k, c in RULES.items()], DUPLICATES.format("lab")]), "lab")(
     lambda s, d: L.label_violations(labels(s, d))
 )
 LABEL_STATS = """SELECT ticker, count(*) AS n, count(*) FILTER (hit = 'PT') AS n_pt, count(*) FILTER (hit = 'SL') AS n_sl, count(*) FILTER (hit = 'VERTICAL') AS n_vertical, 100.0 * count(*) FILTER (hit = 'PT') / count(*) AS pct_pt,
@@ -282,21 +315,26 @@ def comparison(s, d):
 
 
 query("x31_period_comparison", "period cagr:d volatility:d sharpe:d sortino:d max_drawdown:d calmar:d annual_turnover:d win_rate:d beta:d alpha:d information_ratio:d")(comparison)
-PERF = """WITH e AS (SELECT ts, v / first_value(v) OVER (ORDER BY ts) AS net, v AS gross, b FROM (SELECT ts, max(value) FILTER (feature = 'm1') AS v, max(value) FILTER (feature = 'm2') AS b FROM macro GROUP BY 1 HAVING v IS NOT NULL AND b IS NOT NULL)),
- x AS (SELECT *, net / lag(net) OVER (ORDER BY ts) - 1 AS r, b / lag(b) OVER (ORDER BY ts) - 1 AS q, net / max(net) OVER (ORDER BY ts) - 1 AS dd FROM e)
- SELECT pow(arg_max(net, ts) / arg_min(net, ts), 365.25 / (max(ts) - min(ts))) - 1 AS cagr, stddev_samp(r) * sqrt(252) AS volatility, avg(r) * 252 / (stddev_samp(r) * sqrt(252)) AS sharpe, avg(r) * 252 / (stddev_samp(r) FILTER (r < 0) * sqrt(252)) AS sortino,
- min(dd) AS max_drawdown, avg(CAST(r > 0 AS INTEGER)) AS win_rate, covar_samp(r, q) / var_pop(q) FILTER (r IS NOT NULL AND q IS NOT NULL) AS beta FROM x"""
+ALL_METRICS = "gross_cagr:d cagr:d cost_drag:d annual_return:d volatility:d sharpe:d sortino:d max_drawdown:d calmar:d information_ratio:d alpha:d beta:d total_cost:d annual_turnover:d mean_turnover:d win_rate:d holding_days:d"
+PERF = """WITH e AS (SELECT ts, m1 AS gross, m5 AS net, m2 AS bench, m3, m4 FROM (SELECT ts, """ + ", ".join(f"max(value) FILTER (feature = 'm{k}') AS m{k}" for k in range(1, 6)) + """ FROM macro GROUP BY 1) WHERE m1 + m2 + m3 + m4 + m5 IS NOT NULL),
+ x AS (SELECT *, net / lag(net) OVER (ORDER BY ts) - 1 AS r, bench / lag(bench) OVER (ORDER BY ts) - 1 AS b, net / max(net) OVER (ORDER BY ts) - 1 AS dd FROM e),
+ t AS (SELECT ts, turnover, cost, ts - lag(ts) OVER (ORDER BY ts) AS gap FROM (SELECT max(ts) AS ts, avg(m3) / 1e6 AS turnover, sum(m4) / 100 AS cost FROM e GROUP BY date_trunc('month', ts))),
+ u AS (SELECT avg(turnover) AS mean_turnover, sum(cost) AS total_cost, avg(turnover) * 252 / avg(gap) AS annual_turnover FROM t),
+ g AS (SELECT pow(arg_max(gross, ts) / arg_min(gross, ts), 365.25 / (max(ts) - min(ts))) - 1 AS gross_cagr, pow(arg_max(net, ts) / arg_min(net, ts), 365.25 / (max(ts) - min(ts))) - 1 AS cagr, pow(arg_max(bench, ts) / arg_min(bench, ts), 365.25 / (max(ts) - min(ts))) - 1 AS bench_cagr,
+  stddev_samp(r) * sqrt(252) AS volatility, avg(r) * 252 AS mean, stddev_samp(r) FILTER (r < 0) * sqrt(252) AS down, min(dd) AS max_drawdown, avg(CAST(r > 0 AS INTEGER)) AS win_rate, covar_samp(r, b) / var_pop(b) FILTER (r IS NOT NULL) AS beta, avg(b) * 252 AS mean_b, stddev_samp(r - b) * sqrt(252) AS te FROM x)
+ SELECT gross_cagr, cagr, gross_cagr - cagr AS cost_drag, cagr AS annual_return, volatility, mean / volatility AS sharpe, mean / down AS sortino, max_drawdown, cagr / abs(max_drawdown) AS calmar, (cagr - bench_cagr) / te AS information_ratio, mean - beta * mean_b AS alpha, beta,
+  total_cost, annual_turnover, mean_turnover, win_rate, 252 / annual_turnover AS holding_days FROM g, u"""
 
 
 def _perf(s, d):
-    m = R.pivot(P.macro(s, d), "ts", "feature", "value", ["m1", "m2"]).where("m1 IS NOT NULL AND m2 IS NOT NULL")
-    first = F.first("m1").over(Window.orderBy("ts"))
-    e = m.select("ts", F.col("m1").alias("gross"), (F.col("m1") / first).alias("net"))
-    t = m.limit(2).select("ts", F.lit(0.5).alias("turnover"), F.lit(1.0).alias("cost"))
-    return E.performance(e, t, m.select("ts", F.col("m2").alias("bench")))
+    """The metrics of one series, with the costs and turnover of each month made from two more."""
+    names = [f"m{k}" for k in range(1, 6)]
+    m = R.pivot(P.macro(s, d), "ts", "feature", "value", names).na.drop(subset=names)
+    t = m.groupBy(F.date_trunc("month", "ts").alias("month")).agg(F.max("ts").alias("ts"), (F.avg("m3") / 1e6).alias("turnover"), (F.sum("m4") / 100).alias("cost"))
+    return E.performance(m.select("ts", F.col("m1").alias("gross"), F.col("m5").alias("net")), t.select("ts", "turnover", "cost"), m.select("ts", F.col("m2").alias("bench")))
 
 
-query("a20_performance", "cagr:d volatility:d sharpe:d sortino:d max_drawdown:d win_rate:d beta:d", PERF, "m")(_perf)
+query("a20_performance", ALL_METRICS, PERF, "m")(_perf)
 
 
 def series_of(s, d, k):

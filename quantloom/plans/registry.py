@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+BODIES: dict[str, str] = {}  # the SQL of a query after its common tables
 
 DIGITS = 6
 # Kinds of columns: d rounded double, none as it is, l long, s string, t date as text, b boolean.
@@ -57,17 +58,24 @@ st AS (
   FROM st s JOIN vol v ON v.ticker = s.ticker AND v.rn = s.rn + 1),
 ev AS (SELECT v.ticker, v.ts, v.c AS price, v.ret, v.vol, v.vol AS threshold, s.direction FROM st s JOIN vol v ON v.ticker = s.ticker AND v.rn = s.rn WHERE s.direction IS NOT NULL)
 """
-LABELS = """
+def labels_sql(policy: str = "conservative") -> str:
+    up, down = "coalesce(coalesce({0}.h, {0}.c) >= e.pt, false)", "coalesce(coalesce({0}.l, {0}.c) <= e.sl, false)"
+    touch = f"{up} <> {down}" if policy == "ignore" else f"({up} OR {down})"
+    loss = f"NOT {up}" if policy == "optimistic" else down
+    return f"""
 eb AS (SELECT e.ticker, e.ts, p.pos, p.c AS price, e.vol, p.c * (1 + e.vol) AS pt, p.c * (1 - e.vol) AS sl FROM ev e JOIN panel p ON p.ticker = e.ticker AND p.ts = e.ts),
-hp AS (SELECT e.ticker, e.ts, max(p.pos) AS last, min(p.pos) FILTER (coalesce(p.h, p.c) >= e.pt OR coalesce(p.l, p.c) <= e.sl) AS hit
+hp AS (SELECT e.ticker, e.ts, max(p.pos) AS last, min(p.pos) FILTER ({touch.format('p')}) AS hit
   FROM eb e JOIN panel p ON p.ticker = e.ticker AND p.pos BETWEEN e.pos + 1 AND e.pos + 5 GROUP BY 1, 2),
-lx AS (SELECT e.*, h.last, h.hit AS hitpos, x.ts AS hit_ts, z.ts AS last_ts, z.c AS last_c, CASE WHEN h.hit IS NULL THEN 3 WHEN coalesce(x.l, x.c) <= e.sl THEN 2 ELSE 1 END AS code
+lx AS (SELECT e.*, h.last, h.hit AS hitpos, x.ts AS hit_ts, z.ts AS last_ts, z.c AS last_c, CASE WHEN h.hit IS NULL THEN 3 WHEN {loss.format('x')} THEN 2 ELSE 1 END AS code
   FROM eb e LEFT JOIN hp h ON h.ticker = e.ticker AND h.ts = e.ts LEFT JOIN panel x ON x.ticker = e.ticker AND x.pos = h.hit LEFT JOIN panel z ON z.ticker = e.ticker AND z.pos = h.last),
 lab0 AS (SELECT ticker, ts, pos, price, pt, sl, vol, coalesce(last_ts, ts) AS vertical_ts, CASE WHEN code = 3 THEN coalesce(last_ts, ts) ELSE hit_ts END AS exit_ts,
   CASE code WHEN 1 THEN pt WHEN 2 THEN sl ELSE CASE WHEN last_ts IS NULL THEN price ELSE last_c END END AS exit_price, CASE code WHEN 1 THEN 'PT' WHEN 2 THEN 'SL' ELSE 'VERTICAL' END AS hit,
   CASE code WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS label FROM lx WHERE vol > 0 AND price > 0),
 lab AS (SELECT *, exit_ts - ts AS holding, CASE WHEN exit_price / price > 0 THEN ln(exit_price / price) END AS ret FROM lab0 WHERE exit_price IS NOT NULL)
 """
+
+
+LABELS = labels_sql()
 UNIQUE = """
 step AS (SELECT pos, sum(d) AS d FROM (SELECT c.pos, 1 AS d FROM lab l JOIN cal c ON c.ts = l.ts UNION ALL SELECT c.pos + 1, -1 FROM lab l JOIN cal c ON c.ts = l.exit_ts) GROUP BY pos),
 conc AS (SELECT c.ts, c.pos, CAST(sum(coalesce(s.d, 0)) OVER (ORDER BY c.pos) AS BIGINT) AS n FROM cal c LEFT JOIN step s ON s.pos = c.pos),
@@ -77,7 +85,7 @@ uniq AS (SELECT l.ticker, l.ts, l.exit_ts, l.price, l.exit_price, avg(CASE WHEN
 
 PRELUDES = {
     "": [], "w": [BARS_W], "d": [BARS_D], "h": [BARS_H], "m": [MACRO], "md": [MACRO, BARS_D], "ret": [BARS_W, RETURNS], "ev": [BARS_W, RETURNS, EVENTS],
-    "lab": [BARS_W, RETURNS, EVENTS, LABELS], "uniq": [BARS_W, RETURNS, EVENTS, LABELS, UNIQUE], "wm": [BARS_W, MACRO], "wd": [BARS_W, BARS_D],
+    "lab": [BARS_W, RETURNS, EVENTS, LABELS], "uniq": [BARS_W, RETURNS, EVENTS, LABELS, UNIQUE], "wm": [BARS_W, MACRO], "wd": [BARS_W, BARS_D], "optimistic": [BARS_W, RETURNS, EVENTS, labels_sql("optimistic")], "ignore": [BARS_W, RETURNS, EVENTS, labels_sql("ignore")],
 }
 
 
@@ -110,7 +118,7 @@ def query(name: str, columns: str, sql: str | None = None, uses: str = "") -> Ca
     def add(f: Query) -> Query:
         QUERIES[name] = lambda spark, sf_dir: tidy(f(spark, sf_dir), columns)
         if sql:
-            ORACLES[name] = tidy_sql(sql, columns, uses)
+            ORACLES[name], BODIES[name] = tidy_sql(sql, columns, uses), sql
         return f
 
     return add

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import columns as C
+from quantloom.functions.stage import folder
 from quantloom.operators import aggregates as A
 from quantloom.operators import joins as J
 from quantloom.operators import reshape as R
-from quantloom.sources import files, schema
+from quantloom.sources import files, registry, schema
 
 from . import panels as P
 from .registry import query
@@ -41,9 +42,57 @@ def _constituents(s, d):
 
 
 query("s08_constituents", "symbol sector industry", "SELECT replace(c_name, '#', '-') AS symbol, c_mktsegment AS sector, CAST(NULL AS VARCHAR) AS industry FROM customer")(_constituents)
-query("s14_metadata", "rows:l tickers:l first:t last:t", 'SELECT count(*) AS "rows", count(DISTINCT ticker) AS tickers, min(ts) AS first, max(ts) AS last FROM bars', "w")(
-    lambda s, d: P.bars_w(s, d).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("ticker").alias("tickers"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+def _csv(s, d):
+    df = T(s, d, "nation").select(F.col("n_nationkey").alias("N_NationKey"), F.col("n_name").alias(" N_Name"))
+    path = folder(df)
+    files.write_csv(df, f"{path}/csv")
+    return files.read_csv(s, f"{path}/none", f"{path}/csv")
+
+
+query("s04_csv_scan", "n_nationkey:l n_name", "SELECT n_nationkey, n_name FROM nation")(_csv)
+query("s13_csv_sink", "n_nationkey:l n_name", "SELECT n_nationkey, n_name FROM nation")(_csv)
+
+
+def _batched(s, d):
+    """Bars through wide files of ten tickers, with a ticker that never has a value, and back."""
+    b = P.bars_w(s, d)
+    none = b.groupBy("ts").agg(*[F.lit(None).cast("double").alias(c) for c in "ohlcv"]).withColumn("ticker", F.lit("none"))
+    return files.read_batched(s, files.write_batches(b.unionByName(none), folder(b), size=10))
+
+
+BATCHED = f"{K} open:d high:d low:d close:d volume:d"
+# Prices are divided by three so that none lies halfway between two rounded values.
+query("s06_batched_source", BATCHED, "SELECT ticker, ts, o / 3 AS open, h / 3 AS high, l / 3 AS low, c / 3 AS close, v AS volume FROM bars", "w")(
+    lambda s, d: _batched(s, d).withColumns({c: F.col(c) / 3 for c in ("open", "high", "low", "close")})
 )
+query("s11_wide_source", "ticker n:l first:t last:t", "SELECT ticker, count(*) AS n, min(ts) AS first, max(ts) AS last FROM bars GROUP BY 1", "w")(
+    lambda s, d: _batched(s, d).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+)
+query("s10_source_registry", "category n:l symbols:l", "SELECT unnest(['indices', 'sectors', 'volatility', 'forex', 'commodities', 'yields', 'macro', 'world']) AS category, unnest([12, 22, 7, 8, 15, 11, 34, 16]) AS n, unnest([16, 22, 8, 9, 16, 11, 34, 17]) AS symbols")(
+    lambda s, d: registry.registry(s).groupBy("category").agg(F.count_if(F.col("place") == 0).alias("n"), F.count(F.lit(1)).alias("symbols"))
+)
+
+
+def _parquet(s, d):
+    b = P.bars_w(s, d)
+    path = folder(b)
+    files.write_parquet(b, f"{path}/tree/bars", ["ticker"])
+    return s.read.parquet(f"{path}/tree/bars").withColumn("snappy", F.col("_metadata.file_name").contains(".snappy."))
+
+
+query("s12_parquet_sink", f"{K} c:d v:d snappy:b", "SELECT ticker, ts, c, v, true AS snappy FROM bars", "w")(_parquet)
+
+
+def _metadata(s, d):
+    g = P.bars_w(s, d).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("ticker").alias("tickers"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    path = folder(g)
+    files.write_json(g, path)
+    return s.read.schema("rows long, tickers long, first date, last date").json(path)
+
+
+query("s14_metadata", "rows:l tickers:l first:t last:t", 'SELECT count(*) AS "rows", count(DISTINCT ticker) AS tickers, min(ts) AS first, max(ts) AS last FROM bars', "w")(_metadata)
 
 # Projections and filters.
 query("p01_projection", f"{K} c:d", "SELECT ticker, ts, c FROM bars", "w")(lambda s, d: P.bars_w(s, d).select("ticker", "ts", "c"))
@@ -198,8 +247,22 @@ query("a14_lifetimes", "ticker first_valid:t last_valid:t active_days:l coverage
 query("a15_feature_diagnostics", "feature missing_pct:d std:d constant:b", " UNION ALL ".join(f"SELECT '{c}' AS feature, 100.0 * count(*) FILTER ({c} IS NULL) / count(*) AS missing_pct, stddev_samp({c}) AS std, min({c}) = max({c}) AS constant FROM dpanel" for c in ("o", "h", "c", "v")), "d")(
     lambda s, d: A.feature_diagnostics(R.densify(P.bars_d(s, d)), ["o", "h", "c", "v"])
 )
+
+
+def _holes(s, d):
+    """The daily panel with values missing in one column at a time."""
+    keep = lambda c, cond: F.when(cond, F.col(c))
+    day = F.dayofmonth("ts")
+    return R.densify(P.bars_d(s, d)).withColumns({"o": keep("o", day != 13), "h": keep("h", day != 7), "c": keep("c", F.weekday("ts") != 2)})
+
+
 PAIRS = [(a, b) for i, a in enumerate("ohlc") for b in "ohlc"[i + 1 :]]
-query("a16_correlations", "a b corr:d", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS corr FROM dpanel" for a, b in PAIRS), "d")(lambda s, d: A.correlations(R.densify(P.bars_d(s, d)), list("ohlc")))
+query("a16_correlations", "a b corr:d", f"WITH g AS (SELECT CASE WHEN day(ts) <> 13 THEN o END AS o, CASE WHEN day(ts) <> 7 THEN h END AS h, l, CASE WHEN isodow(ts) <> 3 THEN c END AS c FROM dpanel), k AS (SELECT * FROM g WHERE o IS NOT NULL AND h IS NOT NULL AND l IS NOT NULL AND c IS NOT NULL) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS corr FROM k" for a, b in PAIRS), "d")(
+    lambda s, d: A.correlations(_holes(s, d), list("ohlc"), complete=True)
+)
+query("a16_pairwise_correlations", "a b corr:d", f"WITH g AS (SELECT CASE WHEN day(ts) <> 13 THEN o END AS o, CASE WHEN day(ts) <> 7 THEN h END AS h, l, CASE WHEN isodow(ts) <> 3 THEN c END AS c FROM dpanel) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS corr FROM g" for a, b in PAIRS), "d")(
+    lambda s, d: A.correlations(_holes(s, d), list("ohlc"))
+)
 query("a17_shares", "l_returnflag n:l share:d", "SELECT l_returnflag, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM lineitem GROUP BY 1")(lambda s, d: A.shares(T(s, d, "lineitem"), "l_returnflag"))
 query("a27_duplicate_keys", "l_orderkey:l l_linenumber:l n:l", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")(lambda s, d: A.duplicate_keys(T(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]))
 BAD = "(SELECT ticker, ts, CASE WHEN isodow(ts) = 3 THEN c - 1 ELSE h END AS h, CASE WHEN isodow(ts) = 4 THEN c + 1 ELSE l END AS l, CASE WHEN day(ts) = 13 THEN -1 ELSE o END AS o, c, v FROM daily)"
@@ -214,6 +277,16 @@ def _broken(s, d):
 
 
 query("a28_violations", "rule n:l examples", VIOLATIONS, "d")(lambda s, d: A.violations(_broken(s, d)))
+
+
+def _report(s, d):
+    found = A.violations(_broken(s, d))
+    path = folder(found)
+    files.write_report(found, path)
+    return s.read.text(path).withColumnRenamed("value", "line")
+
+
+query("s15_text_report", "line", f"SELECT '[' || rule || '] ' || n AS line FROM ({VIOLATIONS}) UNION ALL SELECT '  e.g. ' || examples FROM ({VIOLATIONS})", "d")(_report)
 query("a29_missing_ranking", "ticker missing:l", "SELECT ticker, count(*) FILTER (c IS NULL) AS missing FROM panel GROUP BY 1", "w")(lambda s, d: A.missing_ranking(P.panel_w(s, d)))
 query("a30_tail_mean", "ticker q:d tail:d", "SELECT ticker, max(q) AS q, avg(c) AS tail FROM (SELECT b.ticker, b.c, g.q FROM bars b JOIN (SELECT ticker, quantile_cont(c, 0.05) AS q FROM bars GROUP BY 1) g USING (ticker)) WHERE c <= q GROUP BY 1", "w")(lambda s, d: A.tail_mean(P.bars_w(s, d), "c"))
 query("a30_moments", "ticker cov:d corr:d", "SELECT ticker, covar_samp(c / 1000, v) AS cov, corr(c / 1000, v) AS corr FROM bars GROUP BY 1", "w")(lambda s, d: A.moments(P.bars_w(s, d).withColumn("c", F.col("c") / 1000), "c", "v"))
@@ -231,7 +304,9 @@ query("u01_union_by_name", "ticker n:l", "SELECT ticker, count(*) AS n FROM (SEL
 )
 query("u02_key_union", "k:l", "SELECT DISTINCT k FROM (SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer)")(lambda s, d: T(s, d, "orders").select(F.col("o_custkey").alias("k")).union(T(s, d, "customer").select("c_custkey")).distinct())
 query("u03_key_intersect", "k:l", "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer")(lambda s, d: T(s, d, "orders").select(F.col("o_custkey").alias("k")).intersect(T(s, d, "customer").select("c_custkey")))
-query("u04_key_difference", "k:l", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")(lambda s, d: T(s, d, "customer").select(F.col("c_custkey").alias("k")).join(T(s, d, "orders").select(F.col("o_custkey").alias("k")), "k", "left_anti"))
+query("u04_key_difference", "k:l", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%'")(
+    lambda s, d: T(s, d, "customer").select(F.col("c_custkey").alias("k")).join(T(s, d, "orders").where("o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("k")), "k", "left_anti")
+)
 
 # Scalars.
 query("f01_math", f"{K} a:d b:d e:d g:l", "SELECT ticker, ts, ln(c) AS a, sqrt(abs(o - c)) AS b, exp(-v / 100) AS e, CAST(trunc(v * 0.01) AS BIGINT) AS g FROM bars", "w")(

@@ -10,7 +10,7 @@ from quantloom.operators import recursive as V
 from quantloom.operators import reshape as R
 
 from . import panels as P
-from .registry import query
+from .registry import BODIES, query
 
 K = "ticker ts:t"
 W = "OVER (PARTITION BY ticker ORDER BY ts)"
@@ -185,7 +185,9 @@ def features(s, d):
 
 FEATURES = [f"log_ret_{k}d" for k in (1, *H)] + [f"{n}_{k}d" for k in H for n in ("rolling_high", "rolling_low", "rolling_range", "breakout", "roc", "price_to_sma", "realized_vol", "ewma_vol")]
 FEATURES += ["sma_cross_5_20", "atr_14d_norm", "macd", "macd_signal", "macd_hist", "vol_ma_20d", "rel_vol_20d", "vol_zscore_20d", "vol_momentum"]
-query("feature_panel", f"{K} " + " ".join(f"{c}:d" for c in FEATURES))(features)
+PARTS = ["w03_log_returns", "w04_rolling_ranges", "w05_breakout", "w06_rate_of_change", "w07_price_to_sma", "w08_realised_volatility", "w09_ewma_volatility", "w10_average_true_range", "w11_macd", "w12_volume"]
+PANEL = f"SELECT w03_log_returns.ticker, w03_log_returns.ts, {', '.join(FEATURES)} FROM " + " JOIN ".join(f"({BODIES[p]}) {p}" + (" USING (ticker, ts)" if k else "") for k, p in enumerate(PARTS))
+query("feature_panel", f"{K} " + " ".join(f"{c}:d" for c in FEATURES), PANEL, "w")(features)
 query("p18_forward_fill", f"{K} c:d", "SELECT ticker, ts, last_value(c IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY ts ROWS UNBOUNDED PRECEDING) AS c FROM dpanel", "d")(
     lambda s, d: R.forward_filled(R.densify(P.bars_d(s, d)), "c")
 )

@@ -17,15 +17,46 @@ def read_tree(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 
 def read_csv(spark: SparkSession, *paths: str) -> DataFrame:
-    """The first of the paths that can be read, names in lower case."""
-    for k, p in enumerate(paths):
-        try:
-            df = spark.read.csv(p, header=True)
-            return df.toDF(*[c.strip().lower() for c in df.columns])
-        except Exception:
-            if k + 1 == len(paths):
-                raise
-    raise ValueError("no path")
+    """The first of the paths that exists, names in lower case. A file that is there and cannot be read is an error."""
+    if not paths:
+        raise ValueError("no path")
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def exists(p: str) -> bool:
+        path = hadoop.Path(p)
+        return path.getFileSystem(conf).exists(path)
+
+    df = spark.read.csv(next((p for p in paths if exists(p)), paths[-1]), header=True)
+    return df.toDF(*[c.strip().lower() for c in df.columns])
+
+
+def read_batched(spark: SparkSession, paths: list[str], ts: str = "Date", sep: str = "|") -> DataFrame:
+    """Wide files of batches of symbols (columns symbol|field beside the date) as one long table (ticker, ts, open, high, low, close, volume).
+
+    Symbols and days without any value go, as failed downloads leave them.
+    """
+    parts = []
+    for path in paths:
+        wide = spark.read.csv(path, header=True)
+        long = wide.unpivot([ts], None, "name", "value").where("value IS NOT NULL")
+        parts.append(long.select(F.split_part("name", F.lit(sep), F.lit(1)).alias("ticker"), F.to_date(ts).alias("ts"), F.lower(F.split_part("name", F.lit(sep), F.lit(2))).alias("field"), F.col("value").cast("double").alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    fields = ["open", "high", "low", "close", "volume"]
+    return out.groupBy("ticker", "ts").pivot("field", fields).agg(F.first("value")).select("ticker", "ts", *fields)
+
+
+def write_batches(bars: DataFrame, path: str, size: int = 50, ts: str = "Date", sep: str = "|") -> list[str]:
+    """Long bars (ticker, ts, o, h, l, c, v) as wide CSV folders of ``size`` symbols each, as batched downloads land."""
+    names = [r["ticker"] for r in bars.select("ticker").distinct().orderBy("ticker").collect()]
+    fields, out = {"o": "Open", "h": "High", "l": "Low", "c": "Close", "v": "Volume"}, []
+    for k in range(0, len(names), size):
+        batch = names[k : k + size]
+        wide = bars.where(F.col("ticker").isin(batch)).groupBy(F.col("ts").alias(ts)).pivot("ticker", batch).agg(*[F.first(c).alias(n) for c, n in fields.items()])
+        out.append(f"{path}/batch_{k // size:05}")
+        write_csv(wide.toDF(ts, *[f"{t}{sep}{n}" for t in batch for n in fields.values()]), out[-1])
+    return out
 
 
 def constituents(df: DataFrame) -> DataFrame:
