@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(df: DataFrame) -> str:
@@ -28,3 +29,31 @@ def staged(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quantloom-"))
     return df.checkpoint()
+
+
+_WRITTEN: dict[tuple, str] = {}
+
+
+def once(key: tuple, spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` makes, written at its first use in an application and read again as long as it is there.
+
+    Queries over one chain of models share its steps in this way. The key names all that the table depends on.
+    """
+    at = (spark.sparkContext.applicationId, *key)
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def complete(p: str) -> bool:
+        path = hadoop.Path(p, "_SUCCESS")
+        return path.getFileSystem(conf).exists(path)
+
+    if at not in _WRITTEN or not complete(_WRITTEN[at]):
+        df = build()
+        path = folder(df)
+        df.write.parquet(path)
+        _WRITTEN[at] = path
+    return spark.read.parquet(_WRITTEN[at])
+
+
+def forget() -> None:
+    """Have the tables of ``once`` made anew, as a benchmark wants."""
+    _WRITTEN.clear()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import columns as C
+from quantloom.functions.stage import staged
 
 
 def bars_from_ticks(ticks: DataFrame) -> DataFrame:
@@ -64,9 +67,73 @@ def label_statistics(labels: DataFrame) -> DataFrame:
     )
 
 
+def exact_percentiles(df: DataFrame, columns: list[str], points: list[float], most: int = 100_000) -> dict[tuple[str, float], float | None]:
+    """Percentiles of whole columns, interpolated between the two nearest ranks; None without values.
+
+    Each is held in a bracket of values, which approximate percentiles narrow, pass by pass, until it has at most ``most`` rows or one
+    value; only then its distinct values are counted. So no task sees all values of a column. ``df`` is read a few times: write it first.
+    """
+    keys = [(c, p) for c in columns for p in points]
+    low: dict = dict.fromkeys(keys)
+    high: dict = dict.fromkeys(keys)
+    out: dict[tuple[str, float], float | None] = {}
+    grid = [k / 512 for k in range(513)]
+
+    def inside(key: tuple[str, float]) -> Column:
+        x, parts = F.col(key[0]), F.col(key[0]).isNotNull()
+        if low[key] is not None:
+            parts &= x >= low[key]
+        return parts if high[key] is None else parts & (x <= high[key])
+
+    todo = keys
+    while todo:
+        aggs = []
+        for i, k in enumerate(todo):
+            x = F.when(inside(k), F.col(k[0]))
+            aggs += [F.count(k[0]).alias(f"n{i}"), F.count(x).alias(f"m{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"),
+                     (F.lit(0) if low[k] is None else F.count_if(F.col(k[0]) < low[k])).alias(f"u{i}")]
+        r = df.agg(*aggs).first()
+        small, wide = [], []
+        ranks: dict = {}
+        for i, k in enumerate(todo):
+            if not r[f"n{i}"]:
+                out[k] = None
+                continue
+            at = k[1] * (r[f"n{i}"] - 1)
+            ranks[k] = (at, r[f"u{i}"], r[f"m{i}"])
+            if r[f"a{i}"] == r[f"b{i}"]:
+                out[k] = r[f"a{i}"]
+            else:
+                (small if r[f"m{i}"] <= most else wide).append(k)
+        if small:
+            each = F.explode(F.array_compact(F.array(*[F.when(inside(k), F.struct(F.lit(i).alias("i"), F.col(k[0]).cast("double").alias("x"))) for i, k in enumerate(small)]))).alias("e")
+            seen: dict[int, list] = {}
+            for q in df.select(each).groupBy("e.i", "e.x").agg(F.count(F.lit(1)).alias("n")).collect():  # at most ``most`` values for each
+                seen.setdefault(q["i"], []).append((q["x"], q["n"]))
+            for i, k in enumerate(small):
+                at, done, _ = ranks[k]
+                values = sorted(seen[i])
+                ends, first, second = done, None, None
+                for x, n in values:
+                    ends += n
+                    first = x if first is None and ends > int(at) else first
+                    second = x if second is None and ends > math.ceil(at) else second
+                out[k] = first + (second - first) * (at - int(at))
+        if wide:
+            found = df.agg(*[F.percentile_approx(F.when(inside(k), F.col(k[0])), grid, 10_000).alias(f"q{i}") for i, k in enumerate(wide)]).first()
+            for i, k in enumerate(wide):
+                at, done, m = ranks[k]
+                a, b = (int(at) - done) / m, (math.ceil(at) - done) / m
+                low[k], high[k] = found[i][max(0, int(a * 512) - 2)], found[i][min(512, math.ceil(b * 512) + 2)]
+        todo = wide
+    return out
+
+
 def metric_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """(metric, value): mean and median of each column."""
-    g = df.agg(*[a for c in columns for a in (F.avg(c).alias(f"mean_{c}"), F.percentile(c, 0.5).alias(f"median_{c}"))])
+    df = staged(df.select(*columns))
+    median = exact_percentiles(df, columns, [0.5])
+    g = df.agg(*[a for c in columns for a in (F.avg(c).alias(f"mean_{c}"), F.lit(median[c, 0.5]).cast("double").alias(f"median_{c}"))])
     return g.unpivot([], None, "metric", "value")
 
 
@@ -94,11 +161,13 @@ def missing_profile(panel: DataFrame, category: str = "Equity", group: str = "ti
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, deviation, range and 5 and 95 % points of each column, one row each."""
+    df = staged(df.select(*columns))
+    points = exact_percentiles(df, columns, [0.05, 0.95])
     parts = []
     for c in columns:
-        x = F.col(c)
+        x, p = F.col(c), lambda q, c=c: F.lit(points[c, q]).cast("double")
         parts.append(F.struct(F.lit(c).alias("feature"), F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                              F.percentile(x, 0.05).alias("p05"), F.percentile(x, 0.95).alias("p95"), F.max(x).alias("max")))
+                              p(0.05).alias("p05"), p(0.95).alias("p95"), F.max(x).alias("max")))
     return df.agg(F.array(*parts).alias("__a")).select(F.explode("__a").alias("r")).select("r.*")
 
 

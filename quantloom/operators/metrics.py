@@ -57,15 +57,22 @@ def binary(df: DataFrame, label: str = "y", pred: str = "pred") -> DataFrame:
     return g.select("accuracy", "precision", "recall", f1.alias("f1"))
 
 
-def calibration(df: DataFrame, label: str = "y", p: str = "p", clip: float = 1e-15) -> DataFrame:
-    """Brier score, log loss and AUC. Equal scores are counted first, so ranks need a window over distinct scores alone."""
+def calibration(df: DataFrame, label: str = "y", p: str = "p", clip: float = 1e-15, ranges: int = 256) -> DataFrame:
+    """Brier score, log loss and AUC. Ranks are counted inside ``ranges`` ranges of scores, whose bounds are approximate quantiles, and
+    the rows before a range are added, so no task sorts all scores. The bounds are found when the query is built.
+    """
     q = F.least(F.greatest(F.col(p), F.lit(clip)), F.lit(1 - clip))
     loss = df.agg(
         F.avg((F.col(p) - F.col(label)) ** 2).alias("brier"), F.avg(-(F.col(label) * F.ln(q) + (1 - F.col(label)) * F.ln(1 - q))).alias("log_loss")
     )
+    bounds = sorted(set(df.agg(F.percentile_approx(p, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []))
+    place = F.array_position(F.transform(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: F.col(p) < b), True).cast("int") if bounds else F.lit(0)
     s = df.groupBy(p).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = s.withColumn("rank", before + (F.col("n") + 1) / 2)
+    s = s.withColumn("range", F.when(place == 0, len(bounds) + 1).otherwise(place))
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    base = s.groupBy("range").agg(F.sum("n").alias("in")).select("range", F.coalesce(F.sum("in").over(upto), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = s.withColumn("inside", inside).join(F.broadcast(base), "range").withColumn("rank", F.col("base") + F.col("inside") + (F.col("n") + 1) / 2)
     g = s.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").alias("a"), F.sum(F.col("n") - F.col("pos")).alias("b"))
     auc = (F.col("r") - F.col("a") * (F.col("a") + 1) / 2) / F.nullif(F.col("a") * F.col("b"), F.lit(0))
     return loss.join(F.broadcast(g.select(auc.alias("auc"))))

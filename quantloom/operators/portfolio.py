@@ -37,39 +37,113 @@ def expected_returns(predictions: DataFrame, payoffs: DataFrame) -> DataFrame:
     return predictions.join(payoffs, "ts").withColumn("mu", F.coalesce(mu, F.lit(0.0)))
 
 
+BLOCK = 256  # tickers of a block; a task holds the series of two blocks
+
+
+def series_products(returns: DataFrame, x: str = "ret") -> DataFrame:
+    """(a, b, n, na, nb, sx, sy, sxy, s, q) of every two tickers a <= b, from matrix products of blocks of tickers.
+
+    n, sx, sy and sxy are the count and the sums over dates where both have a value, taken off the means of the two. s and q are the
+    covariance over all dates (nulls as zero) and the mean product of squared deviations, as shrinkage needs them. na and nb count values. A ticker travels as one array, once for each block.
+    """
+    rows = returns.select("ticker", "ts", F.col(x).alias("x"))
+    dates = rows.select("ts").distinct().withColumn("pos", F.row_number().over(Window.orderBy("ts")) - 1)  # one row for each date
+    days = dates.count()
+    blocks = max(1, -(-rows.select("ticker").distinct().count() // BLOCK))
+    # The dates of a ticker are a bounded array: a calendar has thousands of them.
+    one = rows.where("x IS NOT NULL").join(F.broadcast(dates), "ts").groupBy("ticker").agg(F.collect_list(F.struct("pos", "x")).alias("v"))
+    one = rows.select("ticker").distinct().join(one, "ticker", "left").withColumn("block", F.pmod(F.xxhash64("ticker"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = one.withColumn("other", other).select("ticker", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ticker", kind="stable").reset_index(drop=True)
+        m = np.full((len(pdf), days), np.nan)
+        for k, v in enumerate(pdf["v"]):
+            if v is not None:
+                for r in v:
+                    m[k, r["pos"]] = r["x"]
+        there = ~np.isnan(m)
+        count = there.sum(1)
+        mean = np.where(count > 0, np.nansum(m, 1) / np.maximum(count, 1), 0)
+        off = np.where(there, m - mean[:, None], 0)
+        full = np.where(there, m, 0)
+        z = full - full.mean(1, keepdims=True)
+        w = there.astype(float)
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        one, two = np.flatnonzero(pdf["block"] == i), np.flatnonzero(pdf["block"] == j)
+        parts = {"n": w[one] @ w[two].T, "sx": off[one] @ w[two].T, "sy": w[one] @ off[two].T, "sxy": off[one] @ off[two].T, "s": z[one] @ z[two].T / days, "q": (z[one] ** 2) @ (z[two] ** 2).T / days}
+        names = pdf["ticker"].to_numpy()
+        a, b = np.repeat(names[one], len(two)), np.tile(names[two], len(one))
+        out = pd.DataFrame({"a": a, "b": b, "na": np.repeat(count[one], len(two)), "nb": np.tile(count[two], len(one)), **{k: v.ravel() for k, v in parts.items()}})
+        if i == j:
+            return out[out["a"] <= out["b"]]
+        turned = out["a"] > out["b"]
+        out.loc[turned, ["a", "b", "na", "nb", "sx", "sy"]] = out.loc[turned, ["b", "a", "nb", "na", "sy", "sx"]].to_numpy()
+        return out
+
+    schema = "a string, b string, na long, nb long, n double, sx double, sy double, sxy double, s double, q double"
+    return dealt.groupBy("i", "j").applyInPandas(run, schema)
+
+
 def sample_covariance(returns: DataFrame, x: str = "ret") -> DataFrame:
-    """(a, b, cov) of tickers over common dates; each date sends its own cross-section once."""
-    day = returns.where(F.col(x).isNotNull()).groupBy("ts").agg(F.array_sort(F.collect_list(F.struct("ticker", F.col(x).alias("x")))).alias("s"))
-    pairs = day.select(F.explode(F.flatten(F.transform("s", lambda p: F.transform(F.filter("s", lambda q: q["ticker"] >= p["ticker"]), lambda q: F.struct(
-        p["ticker"].alias("a"), q["ticker"].alias("b"), p["x"].alias("xa"), q["x"].alias("xb")))))).alias("p")).select("p.*")
-    return pairs.groupBy("a", "b").agg(F.covar_samp("xa", "xb").alias("cov"), F.count(F.lit(1)).alias("n"))
+    """(a, b, cov, n) of every two tickers over their common dates."""
+    p = series_products(returns, x).where("n > 0")
+    return p.select("a", "b", F.when(F.col("n") > 1, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)).alias("cov"), F.col("n").cast("long").alias("n"))
+
+
+def shrunk_covariance(returns: DataFrame, x: str = "ret", ridge: float = 1e-6) -> DataFrame:
+    """(a, b, sample, ledoit_wolf, oas): covariances over all dates with nulls as zero; the shrinkage follows from two sums over
+    all pairs, so no task holds the whole matrix. Tickers without any value take no part in it and get the ridge alone.
+    """
+    p = series_products(returns, x)
+    own, live = F.col("a") == F.col("b"), (F.col("na") > 0) & (F.col("nb") > 0)
+    twice = F.when(own, 1).otherwise(2)
+    n = returns.select("ts").distinct().count()
+    g = p.where(live).agg(F.count_if(own).alias("p"), F.sum(F.when(own, F.col("s"))).alias("trace"), F.sum(twice * F.col("s") ** 2).alias("ss"), F.sum(twice * F.col("q")).alias("qq"))
+    mu = F.col("trace") / F.col("p")
+    delta = (F.col("ss") - 2 * mu * F.col("trace") + mu * mu * F.col("p")) / F.col("p")
+    beta = F.least(delta, (F.col("qq") - F.col("ss")) / (F.col("p") * n))
+    alpha, square = F.col("ss") / (F.col("p") * F.col("p")), mu * mu
+    den = (n + 1.0) * (alpha - square / F.col("p"))
+    g = g.select(mu.alias("mu"), F.when(delta > 0, beta / delta).otherwise(0.0).alias("lw"), F.when(den <= 0, 1.0).otherwise(F.least(F.lit(1.0), (alpha + square) / den)).alias("oas"))
+    part = lambda w: F.when(live, (1 - F.col(w)) * F.col("s") + F.when(own, F.col(w) * F.col("mu")).otherwise(0.0)).otherwise(0.0) + F.when(own, ridge).otherwise(0.0)
+    return p.join(F.broadcast(g)).select("a", "b", (F.when(live, F.col("s")).otherwise(0.0) + F.when(own, ridge).otherwise(0.0)).alias("sample"), part("lw").alias("ledoit_wolf"), part("oas").alias("oas"))
 
 
 def covariance(x: np.ndarray, method: str = "ledoit_wolf", least: int = 126, ridge: float = 1e-6) -> np.ndarray:
-    """Covariance of (dates, assets) with nulls as zero; too few dates give mean variance times identity."""
-    x = np.nan_to_num(np.asarray(x, float))
-    n, p = x.shape
-    z = x - x.mean(0) if n else x
-    s = z.T @ z / max(1, n)
-    mu = np.trace(s) / p
-    if n < least:
-        return (x.var(0, ddof=1).mean() if n > 1 else 0.0) * np.eye(p) + ridge * np.eye(p)
-    target = mu * np.eye(p)
-    if method == "sample":
-        out = s * n / (n - 1)
-    elif method == "oas":
-        a, b = (s * s).mean(), mu * mu
-        den = (n + 1.0) * (a - b / p)
-        part = 1.0 if den <= 0 else min(1.0, (a + b) / den)
-        out = (1 - part) * s + part * target
-    elif method == "ledoit_wolf":
-        delta = ((s - target) ** 2).sum() / p
-        beta = min(delta, (((z * z).T @ (z * z)) / n - s * s).sum() / (p * n))
-        part = beta / delta if delta > 0 else 0.0
-        out = (1 - part) * s + part * target
-    else:
+    """Covariance of (dates, assets). Too few dates give the mean variance times identity, without a ridge and past nulls; else nulls
+    are zero, and assets without any value take no part and get the ridge alone.
+    """
+    if method not in ("sample", "oas", "ledoit_wolf"):
         raise ValueError(f"unknown method {method}")
-    return out + ridge * np.eye(p)
+    x = np.asarray(x, float)
+    n, assets = x.shape
+    if n < least:
+        count = (~np.isnan(x)).sum(0)
+        off = np.nan_to_num(x - np.where(count > 0, np.nansum(x, 0) / np.maximum(count, 1), 0)) if n else x
+        var = (off**2).sum(0)[count > 1] / (count[count > 1] - 1) if n else np.zeros(0)
+        return (float(var.mean()) if len(var) else 1e-4) * np.eye(assets)
+    some = ~np.isnan(x).all(0)
+    z = np.nan_to_num(x[:, some])
+    p = z.shape[1]
+    z = z - z.mean(0)
+    s = z.T @ z / n
+    out = s
+    if p and method != "sample":
+        mu, total = np.trace(s) / p, (s * s).sum()
+        if method == "oas":
+            a, b = total / (p * p), mu * mu
+            den = (n + 1.0) * (a - b / p)
+            part = 1.0 if den <= 0 else min(1.0, (a + b) / den)
+        else:
+            delta = ((s - mu * np.eye(p)) ** 2).sum() / p
+            beta = min(delta, (((z * z).T @ (z * z)).sum() / n - total) / (p * n))
+            part = beta / delta if delta > 0 else 0.0
+        out = (1 - part) * s + part * mu * np.eye(p)
+    full = np.zeros((assets, assets))
+    full[np.ix_(some, some)] = out
+    return full + ridge * np.eye(assets)
 
 
 @dataclass
@@ -95,7 +169,7 @@ def _ball(v: np.ndarray, r: float) -> np.ndarray:
 def optimise(mu: np.ndarray, cov: np.ndarray, now: np.ndarray, limits: Limits, cost: float = 0.005, aversion: float = 2.0, rounds: int = 20_000, tol: float = 1e-8) -> np.ndarray:
     """Weights by consensus ADMM: a quadratic, turnover with box, and budget (with leverage) parts.
 
-    Raises if the parts do not agree; small weights become zero.
+    Small weights become zero. Where the parts do not agree, the present weights stay, or equal ones where there are none.
     """
     n = len(mu)
     quad = {"min_variance": 1.0, "risk_parity": 1.0, "max_sharpe": aversion, "return": 0.0}[limits.objective]
@@ -124,7 +198,7 @@ def optimise(mu: np.ndarray, cov: np.ndarray, now: np.ndarray, limits: Limits, c
             break
     else:
         if max(float(np.abs(a - x).max()) for a in z) > 1e-4:
-            raise ArithmeticError("the portfolio problem did not converge")
+            return now.copy() if np.abs(now).sum() > 0 else np.full(n, 1 / n)
     out = np.clip(z[1], low, top)
     out[np.abs(out) < 1e-4] = 0
     return out
@@ -167,22 +241,27 @@ def benchmarks(returns: DataFrame, x: str = "ret") -> DataFrame:
 
 @dataclass
 class Backtest:
-    """Walk-forward run over one panel. Regime codes choose the limits; an unknown one takes the last."""
+    """Walk-forward run over one panel, from the first to the last day with an expected return; returns before that feed the
+    covariance alone. Regime codes choose the limits; an unknown one takes those of 1. Drifted weights are brought to a sum of one, unless cash is kept.
+    """
 
     limits: dict[int, Limits] = field(default_factory=lambda: {2: Limits(1, 0.05, 0.5, "min_variance"), 1: Limits(), 0: Limits()})
     capital: float = 1e8
     method: str = "ledoit_wolf"
-    keep_cash: bool = True
+    keep_cash: bool = False
 
     def run_frame(self, pdf: pd.DataFrame, rebalance: set) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
         """(equity, turnover, weights) from rows (ts, ticker, ret, mu, regime); costs go from net alone."""
         ret = pdf.pivot(index="ts", columns="ticker", values="ret").sort_index()
         mu = pdf.pivot(index="ts", columns="ticker", values="mu").reindex_like(ret)
         regime = pdf.groupby("ts")["regime"].last().reindex(ret.index).ffill().fillna(1).astype(int)
-        x, days, names = ret.fillna(0).to_numpy(), list(ret.index), list(ret.columns)
+        past, days, names = ret.to_numpy(np.float64), list(ret.index), list(ret.columns)
+        x = np.nan_to_num(past)
+        live = np.flatnonzero(mu.notna().to_numpy().any(1))
         w, gross, net = np.zeros(len(names)), self.capital, self.capital
         equity, turns, held = [], [], []
-        for t, day in enumerate(days):
+        for t in range(live[0], live[-1] + 1) if len(live) else ():
+            day = days[t]
             r = float(w @ x[t])
             gross, net = gross * (1 + r), net * (1 + r)
             w = w * (1 + x[t])
@@ -190,8 +269,8 @@ class Backtest:
             w = w / total if total > 0 else w
             use = mu.iloc[t].notna().to_numpy()
             if day in rebalance and use.any():
-                limits = self.limits.get(int(regime.iloc[t]), self.limits[max(k for k in self.limits if k < 2)])
-                cov = covariance(x[:t], self.method) if t else np.eye(len(names)) * 1e-6
+                limits = self.limits.get(int(regime.iloc[t]), self.limits[1])
+                cov = covariance(past[:t], self.method)
                 new = np.zeros_like(w)
                 new[use] = optimise(mu.iloc[t].to_numpy()[use], cov[np.ix_(use, use)], w[use], limits)
                 traded = float(np.abs(new - w).sum())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from operator import mul
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,17 +21,31 @@ def _density(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
 
 
 def forward(logb: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(filtered probabilities, log scale) of each row."""
+    """(filtered probabilities, log scale) of each row. Plain numbers: with few states arrays cost more than they save."""
     shift = logb.max(1)
-    b = np.exp(logb - shift[:, None])
-    a, scale = np.empty_like(b), np.empty(len(b))
-    now = start
-    for t in range(len(b)):
-        now = (now @ move if t else start) * b[t]
-        s = now.sum()
-        now = now / s if s > 0 else np.full(len(start), 1 / len(start))
-        a[t], scale[t] = now, np.log(max(s, 1e-300)) + shift[t]
-    return a, scale
+    b, columns = np.exp(logb - shift[:, None]).tolist(), move.T.tolist()
+    k = len(start)
+    now, a, scale = start.tolist(), [], []
+    for t, x in enumerate(b):
+        now = [p * q for p, q in zip((sum(map(mul, now, c)) for c in columns) if t else now, x, strict=True)]
+        s = sum(now)
+        now = [p / s for p in now] if s > 0 else [1 / k] * k
+        a.append(now)
+        scale.append(s)
+    return np.array(a).reshape(len(b), k), np.log(np.maximum(np.array(scale), 1e-300)) + shift
+
+
+def backward(b: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """What the rows after each one say about its state, scaled to a sum of one; ones for the last row."""
+    k, table = len(move), move.tolist()
+    now, out = [1.0] * k, [[1.0] * k]
+    for x in b[:0:-1].tolist():
+        v = list(map(mul, x, now))
+        now = [sum(map(mul, r, v)) for r in table]
+        s = sum(now)
+        now = [p / s for p in now]
+        out.append(now)
+    return np.array(out[::-1])
 
 
 def fit_hmm(x: np.ndarray, states: int = 3, rounds: int = 100, tol: float = 1e-4, ridge: float = 1e-3):
@@ -47,14 +63,9 @@ def fit_hmm(x: np.ndarray, states: int = 3, rounds: int = 100, tol: float = 1e-4
         a, scale = forward(logb, start, move)
         seen.append(float(scale.sum()))
         b = np.exp(logb - logb.max(1, keepdims=True))
-        beta = np.ones((n, states))
-        joint = np.zeros((states, states))
-        for t in range(n - 2, -1, -1):
-            v = b[t + 1] * beta[t + 1]
-            beta[t] = move @ v
-            beta[t] /= beta[t].sum()
-            step = a[t][:, None] * move * v[None]
-            joint += step / step.sum()
+        beta = backward(b, move)
+        step = a[:-1, :, None] * move * (b[1:] * beta[1:])[:, None, :]
+        joint = (step / step.sum((1, 2), keepdims=True)).sum(0)
         g = a * beta
         g /= g.sum(1, keepdims=True)
         start, move = g[0], joint / joint.sum(1, keepdims=True)

@@ -7,10 +7,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import columns as C
-from quantloom.functions.stage import staged
+from quantloom.functions.stage import once, staged
 from quantloom.operators import aggregates as A
 from quantloom.operators import features as X
 from quantloom.operators import fracdiff as D
+from quantloom.operators import joins as J
 from quantloom.operators import labels as L
 from quantloom.operators import metrics as E
 from quantloom.operators import models as ML
@@ -38,8 +39,8 @@ def labels(s, d, policy: str = "conservative"):
 
 
 def written_labels(s, d):
-    """Labels that a query reads more than once."""
-    return staged(labels(s, d))
+    """Labels that a query reads more than once, and several queries share."""
+    return once(("labels", d), s, lambda: labels(s, d))
 
 
 def calendar(s, d):
@@ -175,7 +176,7 @@ SCORED = "(SELECT label, CASE WHEN e.direction = 'Positive' THEN 1 ELSE -1 END A
 def scored(s, d):
     side = F.when(F.col("direction") == "Positive", 1).otherwise(-1)
     e = events(s, d).select("ticker", "ts", F.col("ret").alias("r"), side.alias("pred"))
-    j = labels(s, d).select("ticker", "ts", "label").join(e, ["ticker", "ts"])
+    j = written_labels(s, d).select("ticker", "ts", "label").join(e, ["ticker", "ts"])
     return j.withColumn("y", (F.col("label") == F.col("pred")).cast("int")).withColumn("p", 1 / (1 + F.exp(-F.col("r"))))
 
 
@@ -228,40 +229,40 @@ query("a26_sample_covariance", "a b cov:d n:l", f"WITH r AS {R1} SELECT x.ticker
 )
 
 
-def shrunk(s, d):
-    """Shrunk covariance of all tickers: one matrix of dates and tickers."""
-    out = "a string, b string, ledoit_wolf double, oas double"
-
-    def run(pdf):
-        import pandas as pd
-
-        m = pdf.pivot(index="ts", columns="ticker", values="ret").sort_index()
-        lw, oas = (Q.covariance(m.to_numpy(), k) for k in ("ledoit_wolf", "oas"))
-        n = list(m.columns)
-        return pd.DataFrame([(n[i], n[j], lw[i, j], oas[i, j]) for i in range(len(n)) for j in range(i, len(n))], columns=["a", "b", "ledoit_wolf", "oas"])
-
-    return returns(s, d).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, out)
-
-
-query("a26_shrunk_covariance", "a b ledoit_wolf:d oas:d")(shrunk)
+# The sums of Ledoit-Wolf and OAS written out; prices of a ticker are returns over all dates, nulls as zero.
+SHRUNK = f"""WITH r AS (SELECT ticker, ts, r * 100 AS r FROM {R1}), k AS (SELECT count(DISTINCT ts) AS n, count(DISTINCT ticker) AS p FROM r),
+ z AS (SELECT ticker, ts, coalesce(r, 0) - avg(coalesce(r, 0)) OVER (PARTITION BY ticker) AS z FROM r),
+ c AS (SELECT x.ticker AS a, y.ticker AS b, sum(x.z * y.z) / max(n) AS s, sum(x.z * x.z * y.z * y.z) / max(n) AS q FROM z x JOIN z y ON x.ts = y.ts CROSS JOIN k GROUP BY 1, 2),
+ g AS (SELECT max(n) AS n, max(p) AS p, sum(s) FILTER (a = b) / max(p) AS mu, sum(s * s) AS ss, sum(q) AS qq FROM c CROSS JOIN k),
+ h AS (SELECT *, (SELECT sum(pow(s - CASE WHEN a = b THEN mu ELSE 0 END, 2)) FROM c) / p AS delta, (n + 1) * (ss / (p * p) - mu * mu / p) AS den FROM g),
+ w AS (SELECT mu, least(delta, (qq - ss) / (p * n)) / delta AS lw, least(1, (ss / (p * p) + mu * mu) / den) AS oas FROM h)
+ SELECT a, b, s + CASE WHEN a = b THEN 1e-6 ELSE 0 END AS sample, (1 - lw) * s + CASE WHEN a = b THEN lw * mu + 1e-6 ELSE 0 END AS ledoit_wolf, (1 - oas) * s + CASE WHEN a = b THEN oas * mu + 1e-6 ELSE 0 END AS oas FROM c, w WHERE a <= b"""
+query("a26_shrunk_covariance", "a b sample:d ledoit_wolf:d oas:d", SHRUNK, "w")(lambda s, d: Q.shrunk_covariance(returns(s, d).withColumn("ret", F.col("ret") * 100)))
 
 
 def optimised(s, d):
-    """Minimum-variance, return and risk-parity weights over the whole window."""
+    """Weights for each objective over the whole window. The solver's task gets the covariance and means of the tickers, not their returns."""
     out = "objective string, ticker string, w double"
+    r = returns(s, d)
+    pairs = Q.shrunk_covariance(r).select("a", "b", "ledoit_wolf")
+    rows = pairs.join(r.groupBy(F.col("ticker").alias("a")).agg(F.avg("ret").alias("mu")), "a")
 
     def run(pdf):
         import pandas as pd
 
-        m = pdf.pivot(index="ts", columns="ticker", values="ret").sort_index()
-        cov, mu, n = Q.covariance(m.to_numpy()), m.mean().to_numpy(), list(m.columns)
+        n = sorted(set(pdf["a"]) | set(pdf["b"]))
+        at = {t: i for i, t in enumerate(n)}
+        i, j = pdf["a"].map(at).to_numpy(), pdf["b"].map(at).to_numpy()
+        cov, mu = np.zeros((len(n), len(n))), np.zeros(len(n))
+        cov[i, j] = cov[j, i] = pdf["ledoit_wolf"]
+        mu[i] = pdf["mu"]
         rows = []
         for k in ("max_sharpe", "min_variance", "risk_parity", "return"):
             w = Q.optimise(mu, cov, np.full(len(n), 1 / len(n)), Q.Limits(cap=0.10, objective=k))
             rows += [(k, n[i], float(w[i])) for i in range(len(n))]
         return pd.DataFrame(rows, columns=["objective", "ticker", "w"])
 
-    return returns(s, d).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, out)
+    return rows.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, out)
 
 
 query("x26_portfolio_weights", "objective ticker w:d")(optimised)
@@ -282,18 +283,31 @@ query("x30_benchmarks", "ts:t equal:d inverse_variance:d inverse_std:d", f"""WIT
  SELECT ts, exp(sum(ln(1 + e)) OVER (ORDER BY ts)) AS equal, exp(sum(ln(1 + v)) OVER (ORDER BY ts)) AS inverse_variance, exp(sum(ln(1 + q)) OVER (ORDER BY ts)) AS inverse_std FROM dd""", "w")(lambda s, d: Q.benchmarks(returns(s, d)))
 
 
+# Four named windows over the years of the tables: all of them, the first, the middle and the last ones.
+PERIODS = {"full_history": ("1995-01-01", "2001-12-31"), "early": ("1995-01-01", "1998-12-31"), "middle": ("1998-01-01", "2000-12-31"), "recent": ("2001-01-01", "2001-12-31")}
+
+
+def expected(s, d):
+    """Expected returns of the chain of models: direction of the primary model, probability of the meta model, payoffs known by then."""
+    primary = predictions(s, d).select("label_index", (F.col("pred") - 1).alias("direction"))
+    second = meta(s, d).select("label_index", "p")
+    rows = master(s, d).select("label_index", "ticker", "ts").join(primary, "label_index").join(second, "label_index", "left")
+    return Q.expected_returns(rows, Q.conditional_payoffs(written_labels(s, d), calendar(s, d))).select("ticker", "ts", "mu")
+
+
 def backtest_rows(s, d):
-    r = returns(s, d)
-    mu = scored(s, d).withColumn("direction", F.col("pred"))
-    mu = Q.expected_returns(mu, Q.conditional_payoffs(labels(s, d), calendar(s, d))).select("ticker", "ts", "mu")
-    regime = calendar(s, d).withColumn("regime", F.when(F.year("ts") % 3 == 0, 2).otherwise(1)).select("ts", "regime")
-    both = r.join(mu, ["ticker", "ts"], "left").join(regime, "ts").withColumn("period", F.lit("all"))
-    late = both.where("ts >= DATE'1999-01-01'").withColumn("period", F.lit("late"))
-    return both.unionByName(late)
+    """Returns with expected returns and the last regime at or before each date, once for each named period."""
+    known = regimes(s, d).select("ts", F.col("regime_label").alias("regime"))
+    regime = J.asof(calendar(s, d).select("ts"), known, "regime", default=1)
+    both = returns(s, d).join(expected(s, d), ["ticker", "ts"], "left").join(regime, "ts")
+    period = F.explode(F.array_compact(F.array(*[F.when(F.col("ts") <= F.lit(b).cast("date"), F.struct(F.lit(k).alias("period"), (F.col("ts") >= F.lit(a).cast("date")).alias("in"))) for k, (a, b) in PERIODS.items()]))).alias("x")
+    # Days before a period stay, without expected returns, for the covariance of its first days.
+    return both.select("*", period).select("ts", "ticker", "ret", F.when(F.col("x.in"), F.col("mu")).alias("mu"), "regime", "x.period")
 
 
 def backtest(s, d, part: str = "equity"):
-    return Q.Backtest().run(backtest_rows(s, d), Q.rebalance_dates(calendar(s, d)), part)
+    rows = once(("backtest", d), s, lambda: backtest_rows(s, d))
+    return Q.Backtest().run(rows, Q.rebalance_dates(calendar(s, d)), part)
 
 
 query("x29_backtest_equity", "period ts:t gross:d net:d")(backtest)
@@ -303,10 +317,9 @@ query("x29_backtest_weights", "period ts:t ticker w:d")(lambda s, d: backtest(s,
 
 def comparison(s, d):
     out = None
-    bench = Q.benchmarks(returns(s, d)).select("ts", F.col("equal").alias("bench"))
-    rows, days = staged(backtest_rows(s, d)), staged(Q.rebalance_dates(calendar(s, d)))
-    equity, turnover = (staged(Q.Backtest().run(rows, days, part)) for part in ("equity", "turnover"))
-    for k in ("all", "late"):
+    bench = staged(Q.benchmarks(returns(s, d)).select("ts", F.col("equal").alias("bench")))
+    equity, turnover = (staged(backtest(s, d, part)) for part in ("equity", "turnover"))
+    for k in PERIODS:
         e = equity.where(F.col("period") == k).drop("period")
         t = turnover.where(F.col("period") == k).drop("period")
         row = E.performance(e, t, bench).withColumn("period", F.lit(k))
@@ -314,7 +327,6 @@ def comparison(s, d):
     return out
 
 
-query("x31_period_comparison", "period cagr:d volatility:d sharpe:d sortino:d max_drawdown:d calmar:d annual_turnover:d win_rate:d beta:d alpha:d information_ratio:d")(comparison)
 ALL_METRICS = "gross_cagr:d cagr:d cost_drag:d annual_return:d volatility:d sharpe:d sortino:d max_drawdown:d calmar:d information_ratio:d alpha:d beta:d total_cost:d annual_turnover:d mean_turnover:d win_rate:d holding_days:d"
 PERF = """WITH e AS (SELECT ts, m1 AS gross, m5 AS net, m2 AS bench, m3, m4 FROM (SELECT ts, """ + ", ".join(f"max(value) FILTER (feature = 'm{k}') AS m{k}" for k in range(1, 6)) + """ FROM macro GROUP BY 1) WHERE m1 + m2 + m3 + m4 + m5 IS NOT NULL),
  x AS (SELECT *, net / lag(net) OVER (ORDER BY ts) - 1 AS r, bench / lag(bench) OVER (ORDER BY ts) - 1 AS b, net / max(net) OVER (ORDER BY ts) - 1 AS dd FROM e),
@@ -335,6 +347,7 @@ def _perf(s, d):
 
 
 query("a20_performance", ALL_METRICS, PERF, "m")(_perf)
+query("x31_period_comparison", f"period {ALL_METRICS}")(comparison)
 
 
 def series_of(s, d, k):
@@ -359,40 +372,50 @@ def macro_returns(s, d):
 
 
 def regimes(s, d):
-    return G.expanding_regimes(macro_returns(s, d), REGIME)
+    """Written once: five queries read them, and a refit of all dates takes long."""
+    return once(("regimes", d), s, lambda: G.expanding_regimes(macro_returns(s, d), REGIME))
 
 
 query("x16_expanding_regimes", "ts:t regime_0_prob:d regime_1_prob:d regime_2_prob:d regime_label:l")(regimes)
 query("x18_regime_diagnostics", "regime_label:l days:l total_variance:d r1_mean:d r2_mean:d r3_mean:d stay_share:d")(lambda s, d: G.regime_diagnostics(regimes(s, d), macro_returns(s, d), REGIME))
 
 
+MODEL = ["log_ret_1d", "log_ret_5d", "roc_20d", "price_to_sma_20d", "rel_vol_20d"]
+
+
 def master(s, d):
-    f = X.volume(X.momentum(X.log_returns(P.panel_w(s, d), (5, 20)), (5, 20)))
-    names = ["log_ret_1d", "log_ret_5d", "roc_20d", "price_to_sma_20d", "rel_vol_20d"]
-    lab = staged(numbered(L.sample_weights(L.uniqueness(written_labels(s, d), calendar(s, d)))))
-    rows = ML.training_set(lab, f.select("ticker", "ts", *names)).withColumn("y", R.class_index(F.col("label")))
-    draws = bootstrap(s, d)
-    return rows.join(draws, "label_index", "left").withColumn("w", F.coalesce("n_draws", F.lit(0)) * F.col("weight")), names
-
-
-def predictions(s, d, m=None, names=None):
-    """Every fold trains on written rows, so a fit does not run the whole pipeline again."""
-    if m is None:
-        m, names = master(s, d)
-        m = staged(m)
+    """The training set: labels with features and draws; written once, since every model and fold reads it."""
+
+    def build():
+        f = X.volume(X.momentum(X.log_returns(P.panel_w(s, d), (5, 20)), (5, 20)))
+        lab = numbered(L.sample_weights(L.uniqueness(written_labels(s, d), calendar(s, d))))
+        rows = ML.training_set(lab, f.select("ticker", "ts", *MODEL)).withColumn("y", R.class_index(F.col("label")))
+        return rows.join(bootstrap(s, d), "label_index", "left").withColumn("w", F.coalesce("n_draws", F.lit(0)) * F.col("weight"))
+
+    return once(("master", d), s, build)
+
+
+def fitted(s, d, name: str):
+    m = master(s, d)
     folds = staged(CV.purged_folds(m.select("label_index", "ts", "exit_ts")))
-    return ML.train_and_infer(m.select("label_index", "y", "w", *names), folds, names)
+    return ML.train_and_infer(m.select("label_index", "y", "w", *MODEL), folds, MODEL, name)
+
+
+def predictions(s, d):
+    """Out-of-sample predictions of the primary model, written once."""
+    return once(("predictions", d), s, lambda: fitted(s, d, "logistic"))
 
 
 query("x22_out_of_sample_predictions", "label_index:l fold:l y:l pred:l")(predictions)
 
 
 def meta(s, d):
-    m, names = master(s, d)
-    m = staged(m)
-    p = ML.meta_labels(predictions(s, d, m, names)).select("label_index", "fold", F.col("meta_label").alias("y"), F.array_max("probs").alias("p_best"))
-    rows = staged(p.join(m.select("label_index", *names), "label_index"))
-    return ML.meta_infer(rows, [*names, "p_best"])
+    def build():
+        p = ML.meta_labels(predictions(s, d)).select("label_index", "fold", F.col("meta_label").alias("y"), F.array_max("probs").alias("p_best"))
+        rows = staged(p.join(master(s, d).select("label_index", *MODEL), "label_index"))
+        return ML.meta_infer(rows, [*MODEL, "p_best"])
+
+    return once(("meta", d), s, build)
 
 
 query("x24_meta_predictions", "label_index:l fold:l y:l p:d pred:l")(meta)
@@ -407,13 +430,6 @@ query("x17_state_order", "state:l total_variance:d place:l")(
 query("j09_asof_strict", f"{K} prev_ts:t", "SELECT b.ticker, b.ts, p.ts AS prev_ts FROM daily b ASOF JOIN daily p ON b.ticker = p.ticker AND b.ts - INTERVAL 1 DAY > p.ts", "d")(lambda s, d: X.asof_returns(P.bars_d(s, d)))
 
 
-def fitted(s, d, name: str):
-    m, names = master(s, d)
-    m = staged(m)
-    folds = staged(CV.purged_folds(m.select("label_index", "ts", "exit_ts")))
-    return ML.train_and_infer(m.select("label_index", "y", "w", *names), folds, names, name)
-
-
 query("x20_random_forest", "label_index:l fold:l y:l pred:l")(lambda s, d: fitted(s, d, "forest"))
 query("x20_boosted_trees", "label_index:l fold:l y:l pred:l")(lambda s, d: fitted(s, d, "boosted"))
 query("x34_perceptron", "label_index:l fold:l y:l pred:l")(lambda s, d: fitted(s, d, "perceptron"))

@@ -63,9 +63,9 @@ def _batched(s, d):
 
 
 BATCHED = f"{K} open:d high:d low:d close:d volume:d"
-# Prices are divided by three so that none lies halfway between two rounded values.
-query("s06_batched_source", BATCHED, "SELECT ticker, ts, o / 3 AS open, h / 3 AS high, l / 3 AS low, c / 3 AS close, v AS volume FROM bars", "w")(
-    lambda s, d: _batched(s, d).withColumns({c: F.col(c) / 3 for c in ("open", "high", "low", "close")})
+# Roots of the prices, so that none lies halfway between two rounded values.
+query("s06_batched_source", BATCHED, "SELECT ticker, ts, sqrt(o) AS open, sqrt(h) AS high, sqrt(l) AS low, sqrt(c) AS close, v AS volume FROM bars", "w")(
+    lambda s, d: _batched(s, d).withColumns({c: F.sqrt(c) for c in ("open", "high", "low", "close")})
 )
 query("s11_wide_source", "ticker n:l first:t last:t", "SELECT ticker, count(*) AS n, min(ts) AS first, max(ts) AS last FROM bars GROUP BY 1", "w")(
     lambda s, d: _batched(s, d).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))

@@ -225,7 +225,10 @@ def test_shrinkage():
     for m in ("sample", "oas", "ledoit_wolf"):
         assert np.allclose(np.diag(Q.covariance(x, m)), x.var(0), atol=0.5) and (np.linalg.eigvalsh(Q.covariance(x, m)) > 0).all()
     few = Q.covariance(x[:50])
-    assert np.allclose(few, np.diag(np.diag(few)))
+    assert np.allclose(few, np.eye(5) * x[:50].var(0, ddof=1).mean())
+    assert np.allclose(Q.covariance(np.full((3, 2), np.nan)), 1e-4 * np.eye(2)) and np.allclose(Q.covariance(x, "sample"), np.cov(x.T, bias=True) + 1e-6 * np.eye(5))
+    holes = np.c_[x, np.full(200, np.nan)]
+    assert np.allclose(Q.covariance(holes)[:5, :5], Q.covariance(x)) and Q.covariance(holes)[5, 5] == 1e-6
     with pytest.raises(ValueError):
         Q.covariance(x, "other")
 
@@ -318,7 +321,9 @@ def test_registered_models_predict_every_label(spark, monkeypatch):
         seen.append((name, trees))
         return real("logistic") if name != "meta_forest" else real(name, trees=2)
 
-    monkeypatch.setattr(domain, "master", lambda s, d: (m, ["f"]))
+    monkeypatch.setattr(domain, "master", lambda s, d: m)
+    monkeypatch.setattr(domain, "MODEL", ["f"])
+    monkeypatch.setattr(domain, "once", lambda key, spark, build: build())
     monkeypatch.setattr(ML, "classifier", small)
     for got in (domain.fitted(spark, "", "forest"), domain.predictions(spark, ""), domain.meta(spark, "")):
         out = got.select("label_index", "fold").collect()
@@ -337,6 +342,7 @@ def test_registered_regimes_refit_as_the_reference_does(monkeypatch):
         b.apply_defaults()
         seen.append([b.arguments[x] for x in ("states", "least", "every", "rounds")])
 
+    monkeypatch.setattr(domain, "once", lambda key, spark, build: build())
     monkeypatch.setattr(domain, "macro_returns", lambda s, d: None)
     monkeypatch.setattr(G, "expanding_regimes", record)
     domain.regimes(None, "")
@@ -348,3 +354,127 @@ def test_registered_bootstrap_draws_as_often_as_the_reference(spark, monkeypatch
     monkeypatch.setattr(domain, "spans", lambda s, d: (spans, 300))
     got = domain.bootstrap(spark, "").agg(F.sum("n_draws").alias("draws"), F.count("*").alias("labels")).first()
     assert got["draws"] == 500_000 and got["labels"] == 6000
+
+
+def test_covariances_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(Q, "BLOCK", 3)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 10)) * 0.02 + 0.5
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 9] = np.nan
+    rows = [(f"t{j}", day(i), None if np.isnan(x[i, j]) else float(x[i, j])) for i in range(40) for j in range(10)]
+    df = spark.createDataFrame(rows, "ticker string, ts date, ret double")
+    import pandas as pd
+
+    want = pd.DataFrame(x).cov()
+    got = {(r["a"], r["b"]): r["cov"] for r in Q.sample_covariance(df).collect()}
+    assert len(got) == 45 and all(abs(got[f"t{i}", f"t{j}"] - want[i][j]) < 1e-12 for i in range(9) for j in range(i, 9))
+    full = {k: Q.covariance(x, k, least=10) for k in ("sample", "ledoit_wolf", "oas")}
+    shrunk = Q.shrunk_covariance(df).collect()
+    assert len(shrunk) == 55
+    for r in shrunk:
+        i, j = int(r["a"][1:]), int(r["b"][1:])
+        assert all(abs(r[k] - full[k][i, j]) < 1e-12 for k in full)
+
+
+def test_percentiles_are_exact_however_narrow_the_bracket(spark):
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=5000), np.r_[np.full(3000, 7.0), rng.integers(0, 40, 2000)]
+    df = spark.createDataFrame([(float(x), float(y), None) for x, y in zip(a, b)], "a double, b double, c double")
+    for most in (100_000, 60):
+        got = A.exact_percentiles(df, ["a", "b", "c"], [0.0, 0.05, 0.5, 0.95, 1.0], most)
+        for p in (0.0, 0.05, 0.5, 0.95, 1.0):
+            assert abs(got["a", p] - np.quantile(a, p)) < 1e-12 and abs(got["b", p] - np.quantile(b, p)) < 1e-12 and got["c", p] is None
+
+
+def test_auc_over_ranges_of_scores(spark):
+    rng = np.random.default_rng(7)
+    y, p = rng.integers(0, 2, 900), np.round(rng.random(900), 2)
+    pairs = [(a > b) + 0.5 * (a == b) for a in p[y == 1] for b in p[y == 0]]
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "y int, p double")
+    for ranges in (1, 7, 256):
+        assert abs(E.calibration(df, ranges=ranges).first()["auc"] - np.mean(pairs)) < 1e-12
+    assert E.calibration(df.where("y = 1")).first()["auc"] is None
+
+
+def test_backtest_by_hand():
+    import pandas as pd
+
+    days = [day(i) for i in range(6)]
+    ret = {"A": [0.01, 0.02, 0.1, -0.05, 0.0, 0.2], "B": [0.0, 0.01, 0.0, 0.05, 0.02, 0.1]}
+    mu = {t: [None, 0.5, None, 0.5, 0.5, None] for t in ret}  # days 1 to 4 can trade
+    pdf = pd.DataFrame([(d, t, ret[t][i], mu[t][i], 1) for i, d in enumerate(days) for t in ret], columns=["ts", "ticker", "ret", "mu", "regime"])
+    equity, turns, held = Q.Backtest(limits={1: Q.Limits(cap=0.6)}, capital=100.0).run_frame(pdf, {days[1], days[5]})
+    assert list(equity["ts"]) == days[1:5] and len(turns) == 1
+    w = {r.ticker: r.w for r in held.itertuples() if r.ts == days[1]}
+    cost = sum(abs(x) for x in w.values()) * 100 * 7 / 10_000
+    net, gross = 100 - cost, 100.0
+    assert abs(equity["net"].iloc[0] - net) < 1e-9 and abs(turns["cost"].iloc[0] - cost) < 1e-12
+    for i in (2, 3, 4):
+        r = sum(w[t] * ret[t][i] for t in w)
+        net, gross = net * (1 + r), gross * (1 + r)
+        w = {t: w[t] * (1 + ret[t][i]) for t in w}
+        w = {t: x / sum(w.values()) for t, x in w.items()}
+        assert abs(equity["net"].iloc[i - 1] - net) < 1e-9 and abs(equity["gross"].iloc[i - 1] - gross) < 1e-9
+    nothing = Q.Backtest().run_frame(pdf.assign(mu=None), {days[1]})
+    assert all(len(x) == 0 for x in nothing)
+
+
+def test_weights_stay_where_the_solver_finds_none():
+    now = np.array([0.3, 0.1])
+    assert (Q.optimise(np.array([0.1, 0.2]), np.eye(2), now, Q.Limits(cap=0.4), rounds=1) == now).all()
+    assert (Q.optimise(np.array([0.1, 0.2]), np.eye(2), 0 * now, Q.Limits(cap=0.4), rounds=1) == 0.5).all()
+
+
+def test_a_broken_first_file_is_an_error(spark, tmp_path):
+    (tmp_path / "good.csv").write_text("A,b\n1,2\n")
+    assert files.read_csv(spark, f"{tmp_path}/none.csv", f"{tmp_path}/good.csv").columns == ["a", "b"]
+    (tmp_path / "dir.csv").mkdir()
+    with pytest.raises(Exception):  # noqa: B017
+        files.read_csv(spark, f"{tmp_path}/dir.csv", f"{tmp_path}/good.csv").count()
+
+
+def test_batched_files_become_one_long_table(spark, tmp_path):
+    b = bars(spark, [1.0, None, 3.0]).unionByName(bars(spark, [None, None, None], "B")).unionByName(bars(spark, [2.0], "C"))
+    paths = files.write_batches(b, str(tmp_path), size=2)
+    got = files.read_batched(spark, paths).select("ticker", "ts", "close").collect()
+    assert len(paths) == 2 and {("A", day(0), 1.0), ("A", day(2), 3.0), ("C", day(0), 2.0)} <= {tuple(r) for r in got}
+
+
+def test_registry_of_sources():
+    from quantloom.sources.registry import series
+
+    assert len(series()) == 125 and len({(c, n) for c, n, _ in series()}) == 125 and all(s for _, _, s in series())
+
+
+def test_tables_are_written_once_and_again_when_they_are_gone(spark):
+    import shutil
+
+    from quantloom.functions import stage
+
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.range(3)
+
+    for n in (1, 1):
+        assert stage.once(("t", 1), spark, build).count() == 3 and len(made) == n
+    shutil.rmtree(stage._WRITTEN[spark.sparkContext.applicationId, "t", 1].removeprefix("file://"))
+    assert stage.once(("t", 1), spark, build).count() == 3 and len(made) == 2
+
+
+def test_hidden_states_match_plain_recursions():
+    rng = np.random.default_rng(3)
+    logb, move, start = rng.normal(size=(30, 3)) * 3, rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(3))
+    a, scale = G.forward(logb, start, move)
+    p, total = start * np.exp(logb[0]), 0.0
+    for t in range(30):
+        p = (p @ move) * np.exp(logb[t]) if t else p
+        assert np.allclose(a[t], p / p.sum())
+    assert abs(scale.sum() - np.log(p.sum())) < 1e-9
+    b, beta = np.exp(logb), np.ones(3)
+    got = G.backward(b, move)
+    for t in range(28, -1, -1):
+        beta = move @ (b[t + 1] * beta)
+        assert np.allclose(got[t], beta / beta.sum())
