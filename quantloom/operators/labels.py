@@ -10,11 +10,16 @@ from quantloom.functions.columns import log, ratio
 from quantloom.operators.reshape import hit_label, hit_name
 
 
-def paths(panel: DataFrame, horizon: int = 5) -> DataFrame:
-    """Each bar with the following ``horizon`` rows of its ticker as an array; no join."""
+def paths(panel: DataFrame, horizon: int = 5, of: str | Column = "true") -> DataFrame:
+    """The bars for which ``of`` holds, each with the following ``horizon`` rows of its ticker as an array; no join.
+
+    The window gives one reference for each of these rows; only the bars that are kept make an array of them.
+    """
     w = Window.partitionBy("ticker").orderBy("ts")
     bar = F.struct("ts", F.coalesce("h", "c").alias("h"), F.coalesce("l", "c").alias("l"), F.col("c").alias("c"))
-    return panel.withColumn("path", F.collect_list(bar).over(w.rowsBetween(1, horizon)))
+    names = [f"__p{k}" for k in range(1, horizon + 1)]
+    ahead = panel.withColumn("__bar", bar).withColumns({n: F.lead("__bar", k + 1).over(w) for k, n in enumerate(names)})
+    return ahead.where(of).withColumn("path", F.array_compact(F.array(*names))).drop("__bar", *names)
 
 
 def triple_barrier(panel: DataFrame, pt: float = 1.0, sl: float = 1.0, horizon: int = 5, policy: str = "conservative") -> DataFrame:
@@ -24,7 +29,7 @@ def triple_barrier(panel: DataFrame, pt: float = 1.0, sl: float = 1.0, horizon:
     close of the last row in reach counts; on the last row of all that is the entry itself. Rows without price,
     barriers or exit price go.
     """
-    e = paths(panel, horizon).where("is_event").withColumn("pt", F.col("c") * (1 + pt * F.col("vol"))).withColumn("sl", F.col("c") * (1 - sl * F.col("vol")))
+    e = paths(panel, horizon, "is_event").withColumn("pt", F.col("c") * (1 + pt * F.col("vol"))).withColumn("sl", F.col("c") * (1 - sl * F.col("vol")))
     up = lambda x: F.coalesce(x["h"] >= F.col("pt"), F.lit(False))
     down = lambda x: F.coalesce(x["l"] <= F.col("sl"), F.lit(False))
     touch = (lambda x: up(x) != down(x)) if policy == "ignore" else (lambda x: up(x) | down(x))

@@ -447,3 +447,20 @@ query("x21_fold_training_rows", "fold:l n:l draws:l")(
 query("w09_bollinger", f"{K} mid:d upper:d lower:d", f"SELECT ticker, ts, m AS mid, m + 2 * sd AS upper, m - 2 * sd AS lower FROM (SELECT *, {WQ.roll('avg', 'c', 20)} AS m, {WQ.roll('stddev_samp', 'c', 20)} AS sd FROM (SELECT ticker, ts, c / 1000 AS c FROM panel))", "w")(
     lambda s, d: X.bollinger(P.panel_w(s, d).withColumn("c", F.col("c") / 1000))
 )
+
+
+# The chain from returns to labels over a panel as wide as there are parts.
+def wide_events(s, d):
+    return V.cusum_events(X.asof_returns(P.bars_p(s, d)))
+
+
+def wide_labels(s, d):
+    bars = P.bars_p(s, d)
+    e = wide_events(s, d).select("ticker", "ts", "vol", F.lit(True).alias("is_event"))
+    return L.triple_barrier(R.densify(bars).join(e, ["ticker", "ts"], "left"))
+
+
+query("wide_asof_returns", f"{K} ret:d", "SELECT * FROM ret", "wide")(lambda s, d: X.asof_returns(P.bars_p(s, d)))
+query("wide_daily_volatility", f"{K} vol:d", "SELECT * FROM vol", "wide")(lambda s, d: V.by_series(X.asof_returns(P.bars_p(s, d)), {"vol": ("ret", lambda x, starts: V.ewm_std(x, 100, starts))}))
+query("wide_cusum_events", f"{K} threshold:d direction", "SELECT * FROM ev", "wide")(wide_events)
+query("wide_triple_barrier", f"{K} vertical_ts:t exit_ts:t pt:d sl:d vol:d holding:l hit label:l ret:d", "SELECT * FROM lab", "wide")(wide_labels)

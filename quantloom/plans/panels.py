@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _order() -> Column:
+    return F.weekday("l_shipdate") * F.lit(10**17) + F.col("l_orderkey") * F.lit(10**5) + F.col("l_linenumber") * F.lit(10**4) + F.col("l_partkey") % 10_000
+
+
 def ticks_w(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit prices of line items by brand; the optimiser broadcasts ``part`` where it is small.
 
@@ -21,12 +25,21 @@ def ticks_w(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     line = table(spark, sf_dir, "lineitem").where("l_quantity > 0")
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
-    order: Column = F.weekday("l_shipdate") * F.lit(10**17) + F.col("l_orderkey") * F.lit(10**5) + F.col("l_linenumber") * F.lit(10**4) + F.col("l_partkey") % 10_000
     return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        "ticker", F.to_date(F.date_trunc("week", "l_shipdate")).alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.col("l_quantity").alias("q"), order.alias("ord")
+        "ticker", F.to_date(F.date_trunc("week", "l_shipdate")).alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.col("l_quantity").alias("q"), _order().alias("ord")
     )
 
 
+def bars_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly bars as wide as there are parts: a ticker for each of them."""
+    line = table(spark, sf_dir, "lineitem").where("l_quantity > 0")
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    ticks = line.join(part, F.col("l_partkey") == F.col("p_partkey"), "left_semi").select(
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("ticker"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.col("l_quantity").alias("q"), _order().alias("ord")
+    )
+    return A.bars_from_ticks(ticks)
+
+
 def bars_w(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.bars_from_ticks(ticks_w(spark, sf_dir))
 

@@ -87,6 +87,8 @@ PRELUDES = {
     "": [], "w": [BARS_W], "d": [BARS_D], "h": [BARS_H], "m": [MACRO], "md": [MACRO, BARS_D], "ret": [BARS_W, RETURNS], "ev": [BARS_W, RETURNS, EVENTS],
     "lab": [BARS_W, RETURNS, EVENTS, LABELS], "uniq": [BARS_W, RETURNS, EVENTS, LABELS, UNIQUE], "wm": [BARS_W, MACRO], "wd": [BARS_W, BARS_D], "optimistic": [BARS_W, RETURNS, EVENTS, labels_sql("optimistic")], "ignore": [BARS_W, RETURNS, EVENTS, labels_sql("ignore")],
 }
+BARS_P = BARS_W.replace("p.p_brand AS ticker", "'P' || CAST(l.l_partkey AS VARCHAR) AS ticker")
+PRELUDES |= {"wide": [BARS_P, RETURNS, EVENTS, labels_sql()]}
 
 
 def _columns(spec: str) -> list[tuple[str, str]]:

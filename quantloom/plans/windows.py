@@ -55,7 +55,7 @@ query("w08_realised_volatility", f"{K} " + " ".join(f"realized_vol_{k}d:d" for k
 
 def _ewma_vol(s, d):
     df = P.panel_w(s, d).withColumn("r", C.log(C.ratio(F.col("c"), F.lag("c").over(C.series()))))
-    cols = {f"ewma_vol_{k}d": ("r", lambda x, k=k: V.ewm_std(x, k) * X.YEAR) for k in H}
+    cols = {f"ewma_vol_{k}d": ("r", lambda x, starts, k=k: V.ewm_std(x, k, starts) * X.YEAR) for k in H}
     return V.by_series(df, cols)
 
 
@@ -109,7 +109,7 @@ query(
 
 
 def with_vol(s, d):
-    return V.by_series(X.asof_returns(P.bars_w(s, d)), {"vol": ("ret", lambda x: V.ewm_std(x, 100))})
+    return V.by_series(X.asof_returns(P.bars_w(s, d)), {"vol": ("ret", lambda x, starts: V.ewm_std(x, 100, starts))})
 
 
 query("w15_daily_volatility", f"{K} vol:d", "SELECT * FROM vol", "ret")(with_vol)
@@ -179,7 +179,7 @@ def features(s, d):
     df = X.volume(X.average_true_range(X.realised_volatility(X.momentum(X.price_ranges(X.log_returns(P.panel_w(s, d)))))))
     df = df.withColumn("r", F.col("log_ret_1d"))
 
-    cols = {f"ewma_vol_{k}d": ("r", lambda x, k=k: V.ewm_std(x, k) * X.YEAR) for k in H}
+    cols = {f"ewma_vol_{k}d": ("r", lambda x, starts, k=k: V.ewm_std(x, k, starts) * X.YEAR) for k in H}
     return V.macd(V.by_series(df, cols)).drop("r")
 
 

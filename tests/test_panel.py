@@ -61,6 +61,37 @@ def test_cusum(r, vol, want):
     assert [(i, u) for i, _, u in V.cusum(np.array(r), np.array(vol))] == want
 
 
+def test_series_side_by_side_match_one_after_another():
+    rng = np.random.default_rng(12)
+    sizes = [int(n) for n in rng.integers(1, 60, 40)]
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    x = rng.normal(size=sum(sizes)) * 0.02
+    x[rng.random(len(x)) < 0.15] = NAN
+    x[starts[3] : starts[4]] = NAN
+    parts = np.split(x, starts[1:])
+    assert np.allclose(V.ewm_std(x, 10, starts), np.concatenate([V.ewm_std(p, 10) for p in parts]), equal_nan=True, rtol=1e-12, atol=0)
+    assert np.allclose(V.ema(x, 10, starts), np.concatenate([V.ema(p, 10) for p in parts]), equal_nan=True, rtol=1e-12, atol=0)
+    vol = V.ewm_std(x, 10, starts)
+    at, h, up = V.cusum_all(x, vol, starts)
+    want = [(a + i, t, u) for a, p, v in zip(starts, parts, np.split(vol, starts[1:])) for i, t, u in V.cusum(p, v)]
+    assert [(int(a), float(b), bool(c)) for a, b, c in zip(at, h, up)] == want and len(want) > 50
+
+
+def test_series_that_span_batches(spark, monkeypatch):
+    monkeypatch.setattr(V, "ROWS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rows = [(t, day(i), float(i % 5 + 1), math.sin(i * k)) for k, t in enumerate([None, "A", "B", "C"], 1) for i in range(k * 9)]
+        df = spark.createDataFrame(rows, "ticker string, ts date, c double, ret double").coalesce(1)
+        got = {(r["ticker"], r["ts"]): r["vol"] for r in V.by_series(df, {"vol": ("ret", lambda x, starts: V.ewm_std(x, 4, starts))}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for k, t in enumerate([None, "A", "B", "C"], 1):
+        want = V.ewm_std(np.array([math.sin(i * k) for i in range(k * 9)]), 4)
+        assert all((got[t, day(i)] is None and np.isnan(v)) or abs(got[t, day(i)] - v) < 1e-12 for i, v in enumerate(want))
+
+
 def barrier(spark, rows, policy="conservative", vol=0.02):
     data = [("A", day(i), c, h, low, c, 1.0, vol if i == 0 else None, i == 0) for i, (h, low, c) in enumerate(rows)]
     df = spark.createDataFrame(data, BAR + ", vol double, is_event boolean")
