@@ -35,9 +35,14 @@ def calendar(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def reindex(df: DataFrame, dates: DataFrame, group: str = "ticker", ts: str = "ts") -> DataFrame:
-    """Every group on every date, exact matches only and nothing filled."""
+    """Every group on every date, exact matches only and nothing filled.
+
+    The groups alone are few bytes, which adaptive execution would gather in one task; a stated number of partitions keeps the
+    grid that they grow into spread out, by group, as the windows over it want it.
+    """
     days = dates.agg(F.array_sort(F.collect_list(F.struct(ts, "pos"))).alias("days"))
-    grid = df.select(group).distinct().join(F.broadcast(days)).select(group, F.explode("days").alias("d")).select(group, "d.*")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = df.select(group).distinct().repartition(parts, F.col(f"`{group}`")).join(F.broadcast(days)).select(group, F.explode("days").alias("d")).select(group, "d.*")
     return grid.join(df, [group, ts], "left")
 
 

@@ -455,8 +455,8 @@ def wide_events(s, d):
 
 
 def wide_labels(s, d):
-    bars = P.bars_p(s, d)
-    e = wide_events(s, d).select("ticker", "ts", "vol", F.lit(True).alias("is_event"))
+    bars = once(("wide_bars", d), s, lambda: P.bars_p(s, d))
+    e = once(("wide_events", d), s, lambda: V.cusum_events(X.asof_returns(bars))).select("ticker", "ts", "vol", F.lit(True).alias("is_event"))
     return L.triple_barrier(R.densify(bars).join(e, ["ticker", "ts"], "left"))
 
 
