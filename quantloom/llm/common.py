@@ -52,6 +52,13 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema}>>")))
 
 
+def content(df: DataFrame) -> tuple:
+    """Two columns (hashes of 64 bits each) that tell rows apart by all they hold; maps and variants have no hash and do not count."""
+    columns = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    parts = [p for c in columns for p in (c.isNull(), c)]  # a null alone would leave no trace
+    return F.xxhash64(F.lit(0), *parts), F.xxhash64(F.lit(1), *parts)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

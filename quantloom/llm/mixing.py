@@ -12,7 +12,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cells_for, saved, with_rank
+from .common import cells_for, content, saved, with_rank
 
 WORDS = r"[^\x20\x09-\x0D]+"
 MOST_SOURCES = 1_000_000  # totals and rates of sources, not of documents, are handled on the driver
@@ -59,8 +59,8 @@ def mix(docs: DataFrame, size, weights: tuple[int, ...] = (1, 2, 3), most: int =
     by one. An empty table gives no rows.
     """
     keep = keep or []
-    # Rows are told apart by all they hold (maps have no hash), so the sample does not depend on files or partitions.
-    tie = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]).alias("tie")
+    # Rows are told apart by all they hold, so the sample does not depend on files or partitions.
+    tie = content(docs)[0].alias("tie")
     rows = docs.select(tie, *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(source_col).alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"))
     # Documents of about one size lie together, so that what a source gives is close to its target.
     rows = saved(rows.withColumn("bin", F.floor(F.log2(F.col("size") + 1) * 64).cast("int")))

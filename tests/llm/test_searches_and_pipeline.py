@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.llm import hilbert, html_extract, langid, maxscore, mixing, packing, pii, queries, simhash, url_filter
-from quantloom.llm.common import drop_saved, saved, with_rank
+from quantloom.llm.common import content, drop_saved, saved, with_rank
 
 VECS = "vec_id long, embedding array<float>, label int, uid long, shard int"
 
@@ -244,6 +244,14 @@ def test_stages_keep_columns_whose_names_clash(spark):
         assert got and all(r[n] == f"{n} {r['doc_id']}" for r in got for n in names)
 
 
+def test_rows_with_one_id_are_told_apart_by_what_they_hold(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, None, "some words of one text here", "s", 1), (1, "some words of one text here", None, "s", 1), (1, "quite another text stands in this row", None, "s", 1), (1, "quite another text stands in this row", None, "s", 1), (2, "quite another text stands in this row", None, "t", 1)]
+    docs = saved(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    got = sorted(map(tuple, corpus_pipeline.deduplicated(spark, docs, "").collect()), key=str)
+    assert got == sorted({r for r in rows if r[0] == 1}, key=str)
+
+
 def test_pipeline_matches_a_plain_one(spark, tmp_path):
     """The whole run against plain versions of the five stages."""
     import re
@@ -276,7 +284,7 @@ def test_pipeline_matches_a_plain_one(spark, tmp_path):
         new = email.sub("<EMAIL>", text)
         clean.append((i, new, lang, source, len(new) if new != text else n))
     table = spark.createDataFrame(clean, docs.schema)
-    cells, tie = 16, F.xxhash64(*table.columns)
+    cells, tie = 16, content(table)[0]
     place = F.struct(F.floor(F.log2(mixing.words("text") + 1) * 64), F.pmod(F.xxhash64(tie), F.lit(cells)), tie)
     copies = plain.sampled([(r["doc_id"], r["source"], plain.words(r["text"]), tuple(r["place"])) for r in table.withColumn("place", place).collect()])
     tok, want = Tokenizer.from_file(queries.tokenizer_path()), []

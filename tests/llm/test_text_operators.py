@@ -338,7 +338,7 @@ def test_mix_matches_a_plain_sampler(spark, docs):
     from pyspark.sql import functions as F
 
     listed = docs.dropDuplicates()
-    cells, tie = common.cells_for(listed.count(), 20_000, 16), F.xxhash64(*listed.columns)
+    cells, tie = common.cells_for(listed.count(), 20_000, 16), common.content(listed)[0]
     place = F.struct(F.floor(F.log2(F.coalesce(mixing.words("text"), F.lit(0)) + 1) * 64), F.pmod(F.xxhash64(tie), F.lit(cells)), tie)
     rows_ = [((r["doc_id"], r["text"]), r["source"], plain.words(r["text"]), tuple(r["place"])) for r in listed.withColumn("place", place).collect()]
     want = plain.sampled(rows_)
