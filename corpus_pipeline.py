@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import langid, mixing, packing, pii, simhash
-from quantloom.llm.common import saved, saved_rows, unused
+from quantloom.llm.common import content, saved, unused
 from quantloom.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -34,18 +34,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the first row of the least doc_id, a null id last.
+    """One document of each near-duplicate group stays: that of the least doc_id, a null id last; of several rows with one id and
+    other contents the one with the least hash, of equal rows one.
 
-    Null, empty and blank texts are copies of each other. Of repeated rows one stays. All columns are kept as they are; an empty table
-    stays empty.
+    Null, empty and blank texts are copies of each other. All columns are kept as they are; an empty table stays empty.
     """
-    # A written number stands for the id, so that repeated and null ids are told apart and both scans agree.
-    number = unused(docs, "row_number")
-    rows = saved_rows(docs, number)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(number).alias("row"))
+    one, two = unused(docs, "content_1"), unused(docs, "content_2")
+    hashes = dict(zip((one, two), content(docs), strict=True))
+    rows = docs.withColumns(hashes)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(one).alias("one"), F.col(two).alias("two"))
     found = simhash.near_duplicates(rows.select(order.alias("doc_id"), "text"))
-    kept = found.where(F.col("id") == F.col("component")).select(F.col("id.row").alias(number))
-    return rows.join(kept, number, "left_semi").select(*docs.columns)
+    kept = found.where(F.col("id") == F.col("component")).select(F.col("id.one").alias(one), F.col("id.two").alias(two)).distinct()
+    # Equal rows are merged before they are shuffled; the join then finds them where they are.
+    return rows.dropDuplicates([one, two]).join(kept, [one, two], "left_semi").select(*docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
