@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,6 +58,12 @@ def balanced(df: DataFrame, y: str = "y") -> DataFrame:
     return df.join(F.broadcast(per), y)
 
 
+def filled(train: DataFrame, features: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Fills nulls with the means of the training rows, and with zero where a feature has no value in them."""
+    means = train.agg(*[F.avg(c).alias(c) for c in features]).first()
+    return lambda df: df.withColumns({f"{c}__i": F.coalesce(F.col(c).cast("double"), F.lit(float(means[c] or 0.0))) for c in features})
+
+
 def train_and_infer(master: DataFrame, folds: DataFrame, features: list[str], name: str = "logistic", trees: int | None = None) -> DataFrame:
     """(label_index, fold, label, probs, pred): each fold's test labels under the model of its training labels.
 
@@ -67,10 +74,11 @@ def train_and_infer(master: DataFrame, folds: DataFrame, features: list[str], na
     def predicted(k: int) -> DataFrame:
         ids = folds.where(F.col("fold") == k).select("label_index", "split")
         rows = master.join(ids, "label_index")
-        stages = [Imputer(inputCols=features, outputCols=[f"{c}__i" for c in features]), VectorAssembler(inputCols=[f"{c}__i" for c in features], outputCol="x"), classifier(name, trees=trees, inputs=len(features))]
+        stages = [VectorAssembler(inputCols=[f"{c}__i" for c in features], outputCol="x"), classifier(name, trees=trees, inputs=len(features))]
         train = rows.where("split = 'Train' AND w > 0")
-        model = Pipeline(stages=stages).fit(train)
-        out = model.transform(rows.where("split = 'Test'"))
+        fill = filled(train, features)
+        model = Pipeline(stages=stages).fit(fill(train))
+        out = model.transform(fill(rows.where("split = 'Test'")))
         probs = vector_to_array("probability") if "probability" in out.columns else vector_to_array("rawPrediction")
         return out.select("label_index", F.lit(k).alias("fold"), "y", probs.alias("probs"), F.col("prediction").cast("int").alias("pred"))
 
@@ -91,10 +99,11 @@ def meta_infer(master: DataFrame, features: list[str], trees: int | None = None,
         train = master.where(F.col("fold") < k if cv == "walkforward" else F.col("fold") != k)
         if cv == "walkforward" and k == number[0]:
             continue
-        stages = [Imputer(inputCols=features, outputCols=[f"{c}__i" for c in features]), VectorAssembler(inputCols=[f"{c}__i" for c in features], outputCol="x"), classifier("meta_forest", trees=trees)]
-        model = Pipeline(stages=stages).fit(balanced(train))
+        stages = [VectorAssembler(inputCols=[f"{c}__i" for c in features], outputCol="x"), classifier("meta_forest", trees=trees)]
+        fill = filled(train, features)
+        model = Pipeline(stages=stages).fit(fill(balanced(train)))
         p = F.get(vector_to_array("probability"), F.lit(1))
-        out = model.transform(master.where(F.col("fold") == k)).select("label_index", "fold", "y", p.alias("p"))
+        out = model.transform(fill(master.where(F.col("fold") == k))).select("label_index", "fold", "y", p.alias("p"))
         out = out.withColumn("pred", (F.col("p") > 0.5).cast("int"))
         parts = out if parts is None else parts.unionByName(out)
     return parts
