@@ -55,11 +55,11 @@ def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slices(batches: Iterable[pa.RecordBatch], column: int, chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of 256 rows, or fewer where texts are long, so that memory does not follow the batch."""
+    """Parts of 64 rows, or fewer where texts are long, so that memory does not follow the batch."""
     for batch in batches:
         at = 0
         while at < batch.num_rows:
-            n, part = 256, batch.slice(at, 256)
+            n, part = 64, batch.slice(at, 64)
             while n > 1 and part.column(column).nbytes > 4 * chars:
                 n //= 2
                 part = batch.slice(at, n)
